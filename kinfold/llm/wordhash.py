@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 _P = 0x9E3779B97F4A7C15
@@ -72,7 +73,7 @@ def text_chunks(batch: pa.RecordBatch | pa.Table, column: str = "text", limit: i
     """
     table = pa.Table.from_batches([batch]) if isinstance(batch, pa.RecordBatch) else batch
     texts = table.column(column).combine_chunks()
-    sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     at = 0
     while at < len(sizes):
         room = np.searchsorted(np.cumsum(sizes[at:]), limit, "right")
