@@ -4,16 +4,40 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kinfold.llm import near_dedup
+from kinfold.llm import bpe, decontaminate, line_dedup, near_dedup, secrets
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(_table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(secrets.scan(_table(spark, sf_dir, "documents")))
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=3, threshold=0.85)
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, threshold=0.85)
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op9_near_dedup": op9_near_dedup,
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_bpe, op4_decontaminate, op5_secrets, op9_near_dedup, op10_line_dedup)}
+ORACLE_SQL: dict[str, str] = {
+    "op5_secrets": secrets.oracle_sql(),
+    "op10_line_dedup": line_dedup.oracle_sql(),
 }
-ORACLE_SQL: dict[str, str] = {}

@@ -51,11 +51,15 @@ def hash_words(buf: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.nda
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(starts):
         return starts, ends, np.zeros(0, U64)
-    forward, back = _power(n)
-    total = np.zeros(n + 1, U64)
-    np.cumsum(_TABLE[buf] * forward, out=total[1:])
-    h = (total[ends] - total[starts]) * back[starts]
-    return starts, ends, mix(h + (ends - starts).astype(U64) * _LEN)
+    return starts, ends, hash_spans(buf, starts, ends)
+
+
+def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the byte spans of ``buf``."""
+    forward, back = _power(len(buf) + 1)
+    total = np.zeros(len(buf) + 1, U64)
+    np.cumsum(_TABLE[buf] * forward[:-1], out=total[1:])
+    return mix((total[ends] - total[starts]) * back[starts] + (ends - starts).astype(U64) * _LEN)
 
 
 def doc_words(texts: list[bytes], is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
