@@ -9,9 +9,10 @@
 4. Linked classes are joined into components.
 
 No bucket is paired with itself in full. The first round compares members only with the bucket's most central
-class. Later rounds look only at buckets that still hold several components and compare across components, each
-member with its best few unlinked partners; that number grows from round to round until no surviving pair is
-left untried, so nothing is capped. Large buckets are dealt in blocks of ``BLOCK`` members.
+class. The second looks only at buckets that still hold several components: a member outside the most frequent
+one is compared with members of other components, and with no component again once it is linked to it, until every
+surviving pair is linked, verified or already connected. Only links leave the tasks. Large buckets are dealt in
+blocks, by members and by bytes, and pairs of blocks are the tasks' units.
 
 Defined results: a null or empty text, or one without words, has no shingles and is linked with nothing; a text
 with fewer words than ``shingle`` has its whole word sequence as one shingle. Rows that repeat a doc_id are
@@ -37,9 +38,8 @@ from kinfold.plans.storage import materialize
 
 SHINGLE, THRESHOLD = 5, 0.8
 HASHES, BANDED, BATCH = 240, 120, 40
-MISS, BAND_MISS = 5e-4, 1e-4
-BLOCK = 2048
-FIRST_PARTNERS, GROWTH = 8, 32
+MISS = BAND_MISS = 1e-4
+BLOCK, BLOCK_BYTES = 1024, 32 << 20
 
 _rng = np.random.default_rng(7)
 _XOR = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
@@ -153,39 +153,51 @@ def _prune(least: list[int]):
     return run
 
 
-def cross_pairs(sig: np.ndarray, ids: np.ndarray, label: np.ndarray, side: np.ndarray, band: int, rows: int, least: list[int], partners: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Surviving pairs of different components within a block, or between its two sides.
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether the sorted sets' Jaccard similarity is ``percent`` or more."""
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    common = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return 100 * common >= percent * (len(a) + len(b) - common)
 
-    The members outside the most frequent component take all others as partners, one member at a time. The third
-    array marks pairs of members with survivors beyond the ``partners`` best. A pair that agrees on an earlier
-    band than ``band`` is left to that band's bucket, so no pair comes from two buckets.
+
+def cross_links(sig: np.ndarray, sets: list[np.ndarray], label: np.ndarray, side: np.ndarray, band: int, rows: int, least: list[int], percent: int) -> list[tuple[int, int]]:
+    """Verified links between components within a block, or between its two sides; enough of them to connect all
+    that are linked.
+
+    A pair that agrees on an earlier band than ``band`` is left to that band's bucket.
     """
+    names, label, counts = np.unique(label, return_inverse=True, return_counts=True)
     earlier = sig[:, : band * rows].reshape(len(sig), band, rows)
-    names, counts = np.unique(label, return_counts=True)
     two = side.any() and not side.all()
-    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))]
-    for i in np.flatnonzero(label != names[counts.argmax()]) if len(names) > 1 else ():
-        alive = np.flatnonzero((label != label[i]) & (side != side[i]) if two else label != label[i])
+    home = np.arange(len(names))
+    out = []
+    for i in np.flatnonzero(label != counts.argmax()) if len(names) > 1 else ():
+        apart = home[label] != home[label[i]]
+        alive = np.flatnonzero(apart & (side != side[i]) if two else apart)
         got = np.zeros(len(alive), np.int32)
         for n, m in enumerate(least):
             cut = slice(n * BATCH, (n + 1) * BATCH)
             got += (sig[alive, cut] == sig[i, cut]).sum(1).astype(np.int32)
             alive, got = alive[got >= m], got[got >= m]
         own = ~(earlier[alive] == earlier[i]).all(2).any(1)
-        alive, got = alive[own], got[own]
-        best = np.lexsort((ids[alive], -got))[:partners]
-        out.append((np.full(len(best), ids[i]), ids[alive[best]], np.full(len(best), len(alive) > partners)))
-    x, y, more = (np.concatenate(c) for c in zip(*out, strict=True))
-    return np.minimum(x, y), np.maximum(x, y), more
+        for j in alive[own][np.argsort(-got[own], kind="stable")].tolist():
+            if home[label[i]] != home[label[j]] and similar(sets[i], sets[j], percent):
+                home[home == home[label[j]]] = home[label[i]]
+                out.append((int(i), j))
+    return out
 
 
-def _cross(least: list[int], rows: int, partners: int):
-    """``cross_pairs`` of each run of rows with one (bucket, x, y); a run has at most two blocks of members."""
+def _cross(least: list[int], rows: int, percent: int):
+    """``cross_links`` of each run of rows with one (bucket, x, y); a run has at most two blocks of members."""
     keys = ["bucket", "x", "y"]
 
     def solve(t: pa.Table) -> pa.RecordBatch:
-        a, b, more = cross_pairs(_matrix(t.column("sig")), *(t.column(c).to_numpy() for c in ("id", "component", "side")), t.column("band")[0].as_py(), rows, least, partners)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(more)], ["a", "b", "more"])
+        sets = [np.frombuffer(x, U64) for x in t.column("words").to_pylist()]
+        ids = t.column("id").to_numpy()
+        pairs = cross_links(_matrix(t.column("sig")), sets, t.column("component").to_numpy(), t.column("side").to_numpy(), t.column("band")[0].as_py(), rows, least, percent)
+        ends = [sorted((ids[i], ids[j])) for i, j in pairs]
+        return pa.RecordBatch.from_arrays([pa.array([e[0] for e in ends], pa.int64()), pa.array([e[1] for e in ends], pa.int64())], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -220,12 +232,7 @@ def _sets_of(k: int):
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-                a, b = np.frombuffer(x.as_py(), U64), np.frombuffer(y.as_py(), U64)
-                at = np.searchsorted(b, a)
-                common = int((b[np.minimum(at, len(b) - 1)] == a).sum())
-                keep.append(100 * common >= percent * (len(a) + len(b) - common))
+            keep = [similar(np.frombuffer(x.as_py(), U64), np.frombuffer(y.as_py(), U64), percent) for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -238,8 +245,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float =
     sketch = materialize(source.mapInArrow(_sketches(shingle), "doc_id long, n_shingles long, class binary, sig binary"), "sketches")
     usable = sketch.where("doc_id is not null and n_shingles > 0")
     # Only the smallest doc_id of a class goes on; each task sends one row a class.
-    one = usable.groupBy("class").agg(F.min(F.struct("doc_id", "sig")).alias("first"))
-    reps = materialize(one.select(F.col("first.doc_id").alias("id"), "class", F.col("first.sig").alias("sig")), "classes")
+    one = usable.groupBy("class", "n_shingles").agg(F.min(F.struct("doc_id", "sig")).alias("first"))
+    reps = materialize(one.select(F.col("first.doc_id").alias("id"), "class", "n_shingles", F.col("first.sig").alias("sig")), "classes")
     classes = reps.select("class", "id")
     width = 2 * rows
     bands = materialize(
@@ -255,34 +262,31 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float =
     scored = star.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
     candidates = materialize(scored.mapInArrow(_prune(least), "a long, b long"), "candidates")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(reps.select("id", "class"), "id").select(F.col("id").alias("doc_id"), F.col("class").alias("own"))
+    def sets_of(ids: DataFrame) -> DataFrame:
+        """``id, words`` of classes: their texts are read again, but only theirs."""
+        ends = ids.join(reps.select("id", "class"), "id").select(F.col("id").alias("doc_id"), F.col("class").alias("own"))
         texts = source.join(ends.select("doc_id"), "doc_id", "left_semi").mapInArrow(_sets_of(shingle), "doc_id long, class binary, words binary")
-        sets = materialize(texts.join(ends, "doc_id").where("class = own").groupBy("doc_id").agg(F.first("words").alias("words")), "sets")
-        both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("words").alias("set_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("words").alias("set_b")), "b")
-        return materialize(both.mapInArrow(_verify(percent), "a long, b long"), "links")
+        return materialize(texts.join(ends, "doc_id").where("class = own").groupBy(F.col("doc_id").alias("id")).agg(F.first("words").alias("words")), "sets")
 
-    tried, links, partners = candidates, verified(candidates), FIRST_PARTNERS
+    sets = sets_of(candidates.select(F.col("a").alias("id")).union(candidates.select("b")).distinct())
+    both = candidates.join(sets.select(F.col("id").alias("a"), F.col("words").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("words").alias("set_b")), "b")
+    links = materialize(both.mapInArrow(_verify(percent), "a long, b long"), "links")
     found = connected_components(links, "a", "b")
-    while True:
-        # A bucket of two had its only pair tried in the first round.
-        placed = shared.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        open_buckets = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo < hi and m > 2").select("bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-        member = placed.join(open_buckets, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        dealt = member.select("bucket", "band", "id", "component", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+    placed = shared.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")).join(reps.select("id", "n_shingles"), "id")
+    # A bucket of two had its only pair tried in the first round.
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") * 8 / BLOCK_BYTES)).cast("int")
+    open_buckets = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"), blocks.alias("blocks")).where("lo < hi and m > 2").select("bucket", "blocks")
+    member = materialize(placed.join(open_buckets, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).select("bucket", "band", "id", "component", "blocks", "block"), "open")
+    if not member.isEmpty():
+        dealt = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
             "bucket", "band", "id", "component", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), (F.col("block") > F.col("other")).cast("int").alias("side")
         )
-        crossed = dealt.join(sig, "id").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y").mapInArrow(_cross(least, rows, partners), "a long, b long, more boolean")
-        survivors = materialize(crossed.groupBy("a", "b").agg(F.bool_or("more").alias("more")), "survivors")
-        fresh = materialize(survivors.select("a", "b").join(tried, ["a", "b"], "left_anti"), "fresh")
-        new = None if fresh.isEmpty() else verified(fresh)
-        if new is not None and not new.isEmpty():
-            links = links.unionByName(new)
-            found = connected_components(links, "a", "b")
-        elif survivors.where("more").isEmpty():
-            break
-        tried = tried.unionByName(fresh)
-        partners *= GROWTH
+        ids = member.select("id").distinct()
+        known = sets_of(ids).join(reps.select("id", "sig"), "id")
+        runs = dealt.join(known, "id").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+        more = materialize(runs.mapInArrow(_cross(least, rows, percent), "a long, b long"), "cross-links")
+        if not more.isEmpty():
+            found = connected_components(links.unionByName(more), "a", "b")
     label = classes.join(found, "id", "left").select("class", F.coalesce("component", "id").alias("component_id"))
     # A class may hold a third of all rows: its one label row is repeated over a few salts to split that join.
     salted = sketch.select("doc_id", "n_shingles", "class", F.pmod(F.xxhash64("doc_id"), F.lit(16)).alias("salt"))
