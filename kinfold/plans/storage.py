@@ -55,3 +55,10 @@ def rename(spark: SparkSession, source: str, target: str) -> bool:
     """Atomic move on file systems that have one; False when the target is already there."""
     fs, p = hadoop_fs(spark, source)
     return bool(fs.rename(p, hadoop_fs(spark, target)[1]))
+
+
+def small_arrow_batches(spark: SparkSession) -> None:
+    """Python workers get texts in batches of a few MB, unless the session has a setting of its own."""
+    for key, usual, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", None, str(8 << 20))):
+        if spark.conf.get(key, usual) in (usual, str(64 << 20), str((1 << 31) - 1), str((1 << 63) - 1)):
+            spark.conf.set(key, value)
