@@ -31,10 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.llm.wordhash import U64, WORD_BYTES, doc_words, mix, text_chunks
-from kinfold.plans.storage import materialize
+from kinfold.plans.storage import materialize, small_arrow_batches
 
 WINDOW, CONTAMINATED = 8, 2
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 PART_CHARS = 32 << 20
 #: Candidates of one intersection step held at once.
 STEP = 1 << 20
@@ -62,6 +62,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def build_index(docs: DataFrame) -> DataFrame:
     """The stored index of ``docs`` (doc_id, text): one row a segment, written in the shared folder."""
+    small_arrow_batches(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
     return materialize(source.mapInArrow(_segments, SEGMENT), "postings")
 

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from kinfold.llm.wordhash import text_chunks
+from kinfold.plans.storage import small_arrow_batches
 
 FRAME = 576
 RATE = 48_000
@@ -238,6 +239,7 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def store(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, media``: each row's text as the samples of a Matroska file."""
+    small_arrow_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(_store, "doc_id long, n_bytes long, media binary")
 
 

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from kinfold.llm.wordhash import NOT_SPACE, U64, doc_words, mix, text_chunks
 from kinfold.operators.graph import connected_components
-from kinfold.plans.storage import materialize
+from kinfold.plans.storage import materialize, small_arrow_batches
 
 SHINGLE, THRESHOLD = 5, 0.8
 HASHES, BANDED, BATCH = 240, 120, 40
@@ -241,6 +241,7 @@ def _verify(percent: int):
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs`` (doc_id long, text string)."""
     least, rows, percent = least_matches(threshold), band_rows(threshold), round(100 * threshold)
+    small_arrow_batches(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = materialize(source.mapInArrow(_sketches(shingle), "doc_id long, n_shingles long, class binary, sig binary"), "sketches")
     usable = sketch.where("doc_id is not null and n_shingles > 0")

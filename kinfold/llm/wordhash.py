@@ -70,7 +70,7 @@ def doc_words(texts: list[bytes], is_word: np.ndarray) -> tuple[np.ndarray, np.n
     return h, np.concatenate([[0], np.searchsorted(starts, ends)])
 
 
-def text_chunks(batch: pa.RecordBatch | pa.Table, column: str = "text", limit: int = 2 << 20) -> Iterator[tuple[pa.Table, list[bytes]]]:
+def text_chunks(batch: pa.RecordBatch | pa.Table, column: str = "text", limit: int = 1 << 20) -> Iterator[tuple[pa.Table, list[bytes]]]:
     """Slices of ``batch`` whose texts have about ``limit`` bytes, with these as UTF-8 (null: empty).
 
     A text longer than the limit is a slice of its own and stays whole.
