@@ -9,8 +9,8 @@ besides the line is told by its *anchor*, the least other template in it: copies
 they count once. Recurring are templates with ``min_docs`` anchors or more that make up at least half of the
 distinct texts with the template. Their lines are dropped from every document.
 
-Two passes over the text: the first counts template hashes, which leaves the few that can recur; the second
-fetches only their lines. Counts are partial aggregates; no template's lines meet in one task. What a document
+The text is parsed once, into the hashes of its lines' nodes. Counting these leaves the few nodes that can recur,
+and only their lines go on. Counts are partial aggregates; no template's lines meet in one task. What a document
 loses depends on its text alone, so decisions are joined by the text's digest, with a salt for large groups of
 copies.
 
@@ -46,7 +46,7 @@ def nodes(masked: Column) -> Column:
     def wider(part: int) -> Column:
         begin = F.lit(LEAD) + F.floor((n - LEAD) * part / PARTS).cast("int")
         end = F.lit(LEAD) + F.floor((n - LEAD) * (part + 1) / PARTS).cast("int")
-        return F.xxhash64(F.lit(part), n, F.array_join(F.slice(tokens, F.lit(1), begin), " "), F.array_join(F.slice(tokens, end + 1, n - end), " "))
+        return F.xxhash64(F.lit(part), n, F.slice(tokens, F.lit(1), begin), F.slice(tokens, end + 1, n - end))
 
     own = F.xxhash64(F.lit(-1), masked)
     return F.when(n >= MIN_TOKENS, F.array(own, *(wider(p) for p in range(PARTS)))).otherwise(F.array(own))
@@ -57,17 +57,20 @@ def _digest(text: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """``th, line, node, anchor``: one row a tree node of a line that is not blank."""
-    split = docs.where("text is not null").select(_digest(F.col("text")).alias("th"), F.transform(F.split("text", "\n"), template).alias("masked"))
-    real = F.array_distinct(F.array_compact("masked"))
-    least = split.withColumn("low", F.array_min(real)).withColumn("next", F.array_min(F.array_remove(real, F.col("low"))))
-    line = least.select("th", "low", "next", F.posexplode("masked").alias("line", "masked")).where("masked is not null")
-    return line.select("th", "line", F.explode(nodes(F.col("masked"))).alias("node"), F.xxhash64(F.when(F.col("masked") == F.col("low"), F.col("next")).otherwise(F.col("low"))).alias("anchor"))
+    """``th, line, nodes, anchor``: one row a line that is not blank.
+
+    The explode of one array keeps the optimizer from repeating the templates in every expression that uses them.
+    """
+    split = docs.where("text is not null").select(_digest(F.col("text")).alias("th"), F.explode(F.array(F.transform(F.split("text", "\n"), template))).alias("masked"))
+    least = split.withColumn("low", F.array_min("masked"))
+    both = least.select("th", "masked", F.explode(F.array(F.struct("low", F.array_min(F.array_remove("masked", F.col("low"))).alias("next")))).alias("l"))
+    line = both.select("th", F.col("l.low").alias("low"), F.col("l.next").alias("next"), F.posexplode("masked").alias("line", "masked")).where("masked is not null")
+    return line.select("th", "line", nodes(F.col("masked")).alias("nodes"), F.xxhash64(F.when(F.col("masked") == F.col("low"), F.col("next")).otherwise(F.col("low"))).alias("anchor"))
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """``th, lines``: of each distinct text (by digest) the numbers of the lines to drop, from 0."""
-    lines = _lines(docs)
+    lines = materialize(_lines(docs), "lines").select("th", "line", "anchor", F.explode("nodes").alias("node"))
     frequent = materialize(lines.groupBy("node").count().where(F.col("count") >= min_docs).select("node"), "nodes")
     found = materialize(lines.join(frequent, "node"), "recurring")
     texts = found.groupBy("node", "anchor", "th").agg(F.lit(1).alias("one"))
