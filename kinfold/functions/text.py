@@ -183,7 +183,7 @@ def split_unescaped(s: Column, separator: str = ";") -> Column:
 
 def unescape(s: Column) -> Column:
     """``\\n`` is a line feed, any other escaped character itself; a last lone backslash stays."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(s, r"\\\\", "\u0001"), r"\\[nN]", "\n"), r"\\(?s:(.))", "$1"), "\u0001", r"\\\\")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(s, r"\\\\", "\u0001"), r"\\[nN]", "\n"), r"\\(?s:(.))", "$1"), "\u0001", r"\\")
 
 
 def escape(s: Column) -> Column:
