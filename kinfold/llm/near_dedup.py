@@ -76,9 +76,10 @@ def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingles of each text."""
     h, at = doc_words(texts, NOT_SPACE)
     n = len(h)
-    whole = np.zeros(max(n - k + 1, 0), U64)
+    m = max(n - k + 1, 0)
+    whole = np.zeros(m, U64)
     for j in range(k):
-        whole += h[j : n - k + 1 + j] * _PART[j]
+        whole += h[j : j + m] * _PART[j]
     whole = mix(whole)
     out = []
     for a, b in zip(at[:-1], at[1:], strict=True):
