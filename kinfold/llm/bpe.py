@@ -263,7 +263,7 @@ def _encode(path: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
-            for part, raw in text_chunks(batch, limit=4 << 20):
+            for part, raw in text_chunks(batch, limit=1 << 20):
                 ids = bpe.encode_batch([t.decode() for t in raw])
                 rest = [part.column(c).combine_chunks() for c in part.column_names if c != "text"]
                 names = [c for c in part.column_names if c != "text"]
@@ -308,7 +308,7 @@ def _count(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
-            for part, raw in text_chunks(batch, limit=4 << 20):
+            for part, raw in text_chunks(batch, limit=1 << 20):
                 n = bpe.count_batch([t.decode() for t in raw])
                 names = [c for c in part.column_names if c != "text"]
                 yield pa.RecordBatch.from_arrays([*(part.column(c).combine_chunks() for c in names), pa.array(n, pa.int64())], [*names, "n_tokens"])
