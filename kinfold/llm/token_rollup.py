@@ -50,11 +50,11 @@ class Rollup:
     path: str
 
     def _batch(self, batch_id: str) -> str:
-        return f"{self.path}/batches/batch_id={batch_id}"
+        return f"{self.path}/batches/{batch_id}"
 
     def batches(self) -> list[str]:
         fs, p = hadoop_fs(self.spark, f"{self.path}/batches")
-        return sorted(s.getPath().getName().removeprefix("batch_id=") for s in fs.listStatus(p)) if fs.exists(p) else []
+        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
     def commit(self, batch_id: str, events: DataFrame) -> bool:
         """Apply ``events`` (the keys, ``n_tokens`` and ``sign``) once; False if the id was committed before."""
@@ -81,7 +81,7 @@ class Rollup:
         last = self._snapshot()
         folded = {r[0] for r in self.spark.read.parquet(f"{last}/ids").collect()} if last else set()
         parts = [self._batch(b) for b in self.batches() if b not in folded] + ([f"{last}/sums"] if last else [])
-        rows = self.spark.read.schema(DELTA).option("basePath", self.path).parquet(*parts).select(*KEYS, "n_docs", "n_tokens", "n_events") if parts else self.spark.createDataFrame([], DELTA)
+        rows = self.spark.read.schema(DELTA).parquet(*parts).select(*KEYS, "n_docs", "n_tokens", "n_events") if parts else self.spark.createDataFrame([], DELTA)
         return rows.groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in ("n_docs", "n_tokens", "n_events")))
 
     def compact(self) -> None:

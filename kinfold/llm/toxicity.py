@@ -8,7 +8,7 @@ its highest window, over all windows of the whole text.
 
 Training takes a bounded sample of labelled texts (at most about ``DOCS_PER_CLASS`` a class, chosen by a hash of
 their id, of these the windows of the first ``TRAIN_WORDS`` words; the label is held against the highest
-window). Word vectors of frequent words are kept by a worker in a table of bounded size.
+window; ``STEPS`` steps, and to the end of the last round). Word vectors of frequent words are kept by a worker in a table of bounded size.
 
 Defined results: a null or wordless text gets the score of an empty window; without both labels to learn from every
 score is 0. Rows with null or repeated ids are each scored by their own text; further columns are ignored.
@@ -29,7 +29,7 @@ from kinfold.plans.storage import small_arrow_batches
 CHARS, WORDS, STRIDE = 12, 32, 24
 BUCKETS, EMBED, CHAR_EMBED, CHAR_HIDDEN, HIDDEN = 4096, 6, 8, 8, 8
 DOCS_PER_CLASS, TRAIN_WORDS = 1200, 400
-EPOCHS, BATCH, RATE = 5, 32, 0.01
+STEPS, BATCH, RATE = 400, 32, 0.01
 TOXIC = 0.7
 KNOWN = 200_000
 
@@ -205,11 +205,11 @@ def loss_and_gradients(p: Params, w: Words, numbers: np.ndarray, counts: np.ndar
     return loss, g
 
 
-def train(texts: list[bytes], labels: list[int], seed: int = 0, epochs: int = EPOCHS) -> Params:
+def train(texts: list[bytes], labels: list[int], seed: int = 0, steps: int = STEPS) -> Params:
     rng, p = np.random.default_rng(seed), init(seed)
     m, v, t = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
     y = np.array(labels, np.float32)
-    for _ in range(epochs):
+    while t < steps:
         order = rng.permutation(len(texts))
         for a in range(0, len(order), BATCH):
             some = order[a : a + BATCH]
