@@ -26,8 +26,8 @@ def held_out(doc_id: str, parts: int, part: int) -> Column:
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    learn = docs.select("doc_id", "text").where(~held_out("doc_id", 3, 1)).join(_table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")
-    found = toxicity.score(docs, toxicity.fit(learn))
+    labels = _table(spark, sf_dir, "labels").where(~held_out("doc_id", 3, 1))
+    found = toxicity.score(docs, toxicity.fit(docs, labels))
     return found.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", "predicted")
 
 

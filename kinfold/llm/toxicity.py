@@ -276,14 +276,18 @@ class Scorer:
         return sigmoid(np.maximum.reduceat(logits, np.cumsum(n) - n).astype(np.float64))
 
 
-def fit(labelled: DataFrame) -> Params | None:
-    """Train on ``doc_id, text, toxic`` (0 or 1); the caller leaves out what is held out."""
-    rows = labelled.where("text is not null and toxic in (0, 1)")
+def fit(docs: DataFrame, labels: DataFrame) -> Params | None:
+    """Train on ``docs`` (doc_id, text) with ``labels`` (doc_id, toxic 0 or 1); the caller leaves out what is held out.
+
+    The sample is drawn from the labels, so that only its ids, a bounded number, meet the texts.
+    """
+    rows = labels.where("doc_id is not null and toxic in (0, 1)")
     counts = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
     if len(counts) < 2:
         return None
     share = F.when(F.col("toxic") == 1, DOCS_PER_CLASS / counts[1]).otherwise(DOCS_PER_CLASS / counts[0])
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1_000_000)) < share * 1_000_000)
+    drawn = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1_000_000)) < share * 1_000_000).select("doc_id", "toxic").limit(4 * DOCS_PER_CLASS)
+    chosen = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
     # No word is shorter than a byte with its separator, but most are longer: the cut keeps TRAIN_WORDS usual words.
     sample = chosen.select(F.substring("text", 1, 12 * TRAIN_WORDS).alias("text"), "toxic").limit(4 * DOCS_PER_CLASS).collect()
     sample.sort(key=lambda r: (r[1], r[0]))

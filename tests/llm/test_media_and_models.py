@@ -124,7 +124,7 @@ def test_toxicity_defined_cases(spark):
     docs = spark.createDataFrame([(1, None, "s"), (None, "a", "t")], "doc_id long, text string, score string")
     assert {(r.score, r.predicted) for r in toxicity.score(docs, None).collect()} == {(0.0, 0)}
     assert toxicity.score(docs.limit(0), toxicity.init()).count() == 0
-    assert toxicity.fit(docs.selectExpr("doc_id", "text", "1 as toxic")) is None
+    assert toxicity.fit(docs, docs.selectExpr("doc_id", "1 as toxic")) is None
 
 
 def test_language_held_out(spark):
