@@ -26,7 +26,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of recurring templates go; ``n_chars`` follows the text. Documents stay."""
-    cleaned = line_dedup.drop_recurring_lines(docs)
+    cleaned = line_dedup.drop_recurring_lines(docs, rule=line_dedup.independent_lines)
     return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cleaned
 
 

@@ -14,6 +14,12 @@ and only their lines go on. Counts are partial aggregates; no template's lines m
 loses depends on its text alone, so decisions are joined by the text's digest, with a salt for large groups of
 copies.
 
+That is the rule of ``recurring_lines``, which the SQL repeats. ``independent_lines``, the rule of the pipeline, tells
+documents by more than one line. A line is common if one of its nodes, or the least hash of its shingles, is in
+enough other texts; what a text holds beside its common lines is its own. A text with a template is told by a min-hash
+sketch of its own lines, if they are more than half of what it has besides the template, and else by one of all its
+lines. Texts of a node that share a value of their sketches count once, as the first of them.
+
 Defined results: a null text stays null and an empty one empty (0 lines counted and dropped); blank lines have no
 template and stay. A document that loses every line stays as a row with an empty text. Rows with null or repeated
 doc_ids are each cleaned by their own text. Further columns are kept as they are, whatever their names (only names
@@ -22,6 +28,8 @@ that begin with ``__ld_`` are reserved). An empty table gives an empty table.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +38,11 @@ from kinfold.plans.storage import materialize
 LEAD, PARTS, MIN_TOKENS = 2, 3, 8
 MIN_DOCS = 10
 SALTS = 16
+#: Hashes of a sketch, words of a shingle, and how many of a line's hashes tell whether it is common.
+SKETCH, SHINGLE, LINE_KEYS = 6, 5, 2
+SEEDS = [0x1B873593CC9E2D51, 0x52DCE729_38495AB5, 0x7ED55D16_C761C23C, 0x2545F491_4F6CDD1D, 0x3C6EF372_FE94F82B, 0x6A09E667_F3BCC908]
+#: A template of so many words recurs, word for word, from so few documents on.
+LONG_WORDS, LONG_DOCS = 50, MIN_DOCS
 
 
 def template(line: Column) -> Column:
@@ -79,9 +92,54 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     return materialize(found.join(chosen, "node", "left_semi").groupBy("th").agg(F.collect_set("line").alias("lines")), "dropped")
 
 
-def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, counts: bool = False) -> DataFrame:
-    """``docs`` with recurring lines taken out of ``text``; with ``counts``, also ``n_lines`` and ``n_dropped``."""
-    dropped = recurring_lines(docs, min_docs)
+def _xor(seed: int) -> Callable[[Column], Column]:
+    return lambda x: x.bitwiseXOR(F.lit(seed))
+
+
+def _sketched(docs: DataFrame) -> DataFrame:
+    """``th, line, length, words, nodes, k0..``: of each line that is not blank its nodes, then its ``LINE_KEYS``, and its sketch."""
+    split = docs.where("text is not null").select(_digest(F.col("text")).alias("th"), F.posexplode(F.split("text", "\n")).alias("line", "raw"))
+    masked = split.select("th", "line", template(F.col("raw")).alias("masked")).where("masked is not null")
+    words = masked.select("*", F.explode(F.array(F.split("masked", " "))).alias("w"))
+    hashed = words.select("th", "line", "masked", F.size("w").alias("words"), F.explode(F.array(F.transform("w", lambda _, i: F.xxhash64(F.slice("w", i + 1, SHINGLE))))).alias("s"))
+    keys = [F.array_min(F.transform("s", _xor(seed))).alias(f"k{i}") for i, seed in enumerate(SEEDS[:SKETCH])]
+    sketched = hashed.select("th", "line", "masked", F.length("masked").alias("length"), "words", *keys)
+    own = F.array(*(F.xxhash64(F.lit(-2 - i), F.col("words") >= LONG_WORDS, F.col(f"k{i}")) for i in range(LINE_KEYS)))
+    return sketched.select("th", "line", "length", "words", F.concat(nodes(F.col("masked")), own).alias("nodes"), *(f"k{i}" for i in range(SKETCH)))
+
+
+def independent_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """As ``recurring_lines``, by the number of texts with a template that have different lines of their own."""
+    lines = materialize(_sketched(docs), "sketched")
+    is_key = F.col("at") >= F.col("size") - LINE_KEYS
+    every = lines.select("th", "line", "length", "words", F.size("nodes").alias("size"), F.posexplode("nodes").alias("at", "node"))
+    need = F.when((F.col("words") >= LONG_WORDS) & ((F.col("at") == 0) | is_key), LONG_DOCS).otherwise(min_docs)
+    every = every.select("th", "line", "length", "node", need.alias("need"), (~is_key).alias("template"))
+    frequent = materialize(every.groupBy("node").agg(F.count("*").alias("n"), F.min("need").alias("need")).where("n >= need").select("node"), "nodes")
+    found = materialize(every.join(frequent, "node"), "recurring")
+    texts = materialize(found.groupBy("node", "th").agg(F.max("length").alias("line_length"), F.min("need").alias("need"), F.max("template").alias("template")), "texts")
+    enough = materialize(texts.groupBy("node").agg(F.count("*").alias("n"), F.min("need").alias("need")).where("n >= need").select("node"), "enough")
+    common = found.join(enough, "node", "left_semi").select("th", "line").distinct().withColumn("common", F.lit(True))
+    sketch = [f"k{i}" for i in range(SKETCH)]
+    once = lines.groupBy("th", "line").agg(F.max("length").alias("length"), *(F.min(k).alias(k) for k in sketch))
+    mine = F.col("common").isNull()
+    told = once.join(common, ["th", "line"], "left").groupBy("th").agg(
+        F.sum("length").alias("all_length"), F.sum(F.when(mine, F.col("length")).otherwise(0)).alias("own_length"),
+        *(F.min(k).alias(k) for k in sketch), *(F.min(F.when(mine, F.col(k))).alias(f"own_{k}") for k in sketch))
+    told = materialize(told, "told")
+    own = 2 * F.col("own_length") > F.col("all_length") - F.col("line_length")
+    counted = texts.where("template").join(enough, "node", "left_semi").join(told, "th").withColumn("own", own)
+    keys = F.array(*(F.xxhash64(F.lit(i), F.when(F.col("own"), F.col(f"own_{k}")).otherwise(F.col(k))) for i, k in enumerate(sketch)))
+    firsts = counted.select("node", "need", "own", "th", F.explode(keys).alias("key")).groupBy("node", "need", "own", "key").agg(F.min("th").alias("th"))
+    independent = firsts.groupBy("node", "need", "own", "th").count().where(F.col("count") == SKETCH).groupBy("node", "need").agg(F.count("*").alias("all"), F.count_if("own").alias("own"))
+    # Texts with little of their own are no evidence for the lower number.
+    chosen = independent.join(enough.select("node", F.col("n").alias("texts")), "node").where(((F.col("own") >= F.col("need")) | (F.col("all") >= min_docs)) & (2 * F.col("all") >= F.col("texts"))).select("node").distinct()
+    return materialize(found.where("template").join(chosen, "node", "left_semi").groupBy("th").agg(F.collect_set("line").alias("lines")), "dropped")
+
+
+def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, counts: bool = False, rule: Callable[[DataFrame, int], DataFrame] = recurring_lines) -> DataFrame:
+    """``docs`` with recurring lines (by ``rule``) taken out of ``text``; with ``counts``, also ``n_lines`` and ``n_dropped``."""
+    dropped = rule(docs, min_docs)
     spread = dropped.select(F.col("th").alias("__ld_th"), F.col("lines").alias("__ld_lines"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__ld_salt"))
     salted = docs.withColumn("__ld_th", _digest(F.col("text"))).withColumn("__ld_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     joined = salted.join(spread, ["__ld_th", "__ld_salt"], "left")

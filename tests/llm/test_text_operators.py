@@ -198,6 +198,27 @@ def test_line_dedup(spark):
     assert line_dedup.report(docs.limit(0)).count() == 0
 
 
+def prose(rng, n):
+    return " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(n))
+
+
+def left(spark, rows):
+    """Texts by id after the pipeline's rule."""
+    return {r.doc_id: r.text for r in line_dedup.drop_recurring_lines(frame(spark, rows), rule=line_dedup.independent_lines).collect()}
+
+
+def test_line_dedup_of_passages_beside_common_lines(spark):
+    """A number-only line sorts before all others, and the passage has several lines; a group of copies stays."""
+    rng = np.random.default_rng(5)
+    passage = [prose(rng, 15) for _ in range(4)]
+    rows = [(i, "\n".join([str(i), *passage, prose(rng, 30), prose(rng, 40)])) for i in range(24)]
+    copy = prose(rng, 30).split(" ")
+    rows += [(100 + i, " ".join([*copy[:j], f"other{chr(97 + i)}", *copy[j + 1 :]]) + "\nthe copied end of it") for i in range(24) for j in [int(rng.integers(30))]]
+    got = left(spark, rows)
+    assert all(got[i].split("\n") == rows[i][1].split("\n")[5:] for i in range(24))
+    assert all(got[100 + i] == rows[24 + i][1] for i in range(24))
+
+
 def test_rollup(spark, tokenizer):
     rows = [(1, "the cat", "en", "a", 7), (2, "the cat", "en", "b", 7), (3, None, None, "a", 0), (4, "x y z", "en", "a", 5)]
     path = new_path(spark, "rollup")
