@@ -133,7 +133,7 @@ def independent_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     firsts = counted.select("node", "need", "own", "th", F.explode(keys).alias("key")).groupBy("node", "need", "own", "key").agg(F.min("th").alias("th"))
     independent = firsts.groupBy("node", "need", "own", "th").count().where(F.col("count") == SKETCH).groupBy("node", "need").agg(F.count("*").alias("all"), F.count_if("own").alias("own"))
     # Texts with little of their own are no evidence for the lower number.
-    chosen = independent.join(enough.select("node", F.col("n").alias("texts")), "node").where(((F.col("own") >= F.col("need")) | (F.col("all") >= min_docs)) & (2 * F.col("all") >= F.col("texts"))).select("node").distinct()
+    chosen = independent.where((F.col("own") >= F.col("need")) | (F.col("all") >= min_docs)).select("node").distinct()
     return materialize(found.where("template").join(chosen, "node", "left_semi").groupBy("th").agg(F.collect_set("line").alias("lines")), "dropped")
 
 

@@ -219,6 +219,17 @@ def test_line_dedup_of_passages_beside_common_lines(spark):
     assert all(got[100 + i] == rows[24 + i][1] for i in range(24))
 
 
+def test_line_dedup_beside_a_group_of_copies(spark):
+    """Near copies that also hold the template are no vote against it."""
+    rng = np.random.default_rng(6)
+    line, copy = prose(rng, 20), [prose(rng, 25) for _ in range(6)]
+    rows = [(i, f"{line}\n{prose(rng, 60)}") for i in range(20)]
+    rows += [(100 + i, "\n".join([line, *copy, prose(rng, 3)])) for i in range(60)]
+    got = left(spark, rows)
+    assert all(line not in t for t in got.values())
+    assert all("\n".join(copy) in got[100 + i] for i in range(60))
+
+
 def test_rollup(spark, tokenizer):
     rows = [(1, "the cat", "en", "a", 7), (2, "the cat", "en", "b", 7), (3, None, None, "a", 0), (4, "x y z", "en", "a", 5)]
     path = new_path(spark, "rollup")
