@@ -42,7 +42,7 @@ SALTS = 16
 SKETCH, SHINGLE, LINE_KEYS = 6, 5, 2
 SEEDS = [0x1B873593CC9E2D51, 0x52DCE729_38495AB5, 0x7ED55D16_C761C23C, 0x2545F491_4F6CDD1D, 0x3C6EF372_FE94F82B, 0x6A09E667_F3BCC908]
 #: A template of so many words recurs, word for word, from so few documents on.
-LONG_WORDS, LONG_DOCS = 50, MIN_DOCS
+LONG_WORDS, LONG_DOCS = 50, 2
 
 
 def template(line: Column) -> Column:

@@ -230,6 +230,17 @@ def test_line_dedup_beside_a_group_of_copies(spark):
     assert all("\n".join(copy) in got[100 + i] for i in range(60))
 
 
+def test_line_dedup_of_long_passages(spark):
+    """60 words in two unrelated documents go; near copies of a document of long lines, and short lines, stay."""
+    rng = np.random.default_rng(7)
+    line, short, copy = prose(rng, 60), prose(rng, 8), [prose(rng, 55) for _ in range(3)]
+    rows = [(i, f"{line}\n{short}\n{prose(rng, 40)}") for i in range(2)]
+    rows += [(10 + i, "\n".join([*copy[:i], "changed " + copy[i], *copy[i + 1 :]])) for i in range(3)]
+    got = left(spark, rows)
+    assert all(line not in got[i] and short in got[i] for i in range(2))
+    assert all(got[10 + i] == rows[2 + i][1] for i in range(3))
+
+
 def test_rollup(spark, tokenizer):
     rows = [(1, "the cat", "en", "a", 7), (2, "the cat", "en", "b", 7), (3, None, None, "a", 0), (4, "x y z", "en", "a", 5)]
     path = new_path(spark, "rollup")
