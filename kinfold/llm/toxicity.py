@@ -7,8 +7,8 @@ that overlap by a quarter; attention pools its states and a logistic layer score
 its highest window, over all windows of the whole text.
 
 Training takes a bounded sample of labelled texts (at most about ``DOCS_PER_CLASS`` a class, chosen by a hash of
-their id, of these the windows of the first ``TRAIN_WORDS`` words; the label is held against the highest
-window; ``STEPS`` steps, and to the end of the last round). Word vectors of frequent words are kept by a worker in a table of bounded size.
+their id), of these all windows of the whole text; the label is held against the highest window (only that one passes
+a gradient; ``STEPS`` steps, and to the end of the last round). Word vectors of frequent words are kept by a worker in a table of bounded size.
 
 Defined results: a null or wordless text gets the score of an empty window; without both labels to learn from every
 score is 0. Rows with null or repeated ids are each scored by their own text; further columns are ignored.
@@ -28,7 +28,7 @@ from kinfold.plans.storage import small_arrow_batches
 
 CHARS, WORDS, STRIDE = 12, 32, 24
 BUCKETS, EMBED, CHAR_EMBED, CHAR_HIDDEN, HIDDEN = 4096, 6, 8, 8, 8
-DOCS_PER_CLASS, TRAIN_WORDS = 1200, 400
+DOCS_PER_CLASS = 1200
 STEPS, BATCH, RATE = 400, 32, 0.01
 TOXIC = 0.7
 KNOWN = 200_000
@@ -205,6 +205,25 @@ def loss_and_gradients(p: Params, w: Words, numbers: np.ndarray, counts: np.ndar
     return loss, g
 
 
+def highest_windows(p: Params, texts: list[bytes], step: int = 1024) -> tuple[Words, np.ndarray, np.ndarray]:
+    """Of each text the highest of all its windows: their distinct words, the windows' words in these, and their lengths."""
+    buf, first, last, h, borders = cut_words(texts)
+    kinds, where, numbers = np.unique(h, return_index=True, return_inverse=True)
+    projected = {d: np.zeros((max(len(kinds), 1), 3 * HIDDEN), np.float32) for d in "fb"}
+    for a in range(0, len(kinds), 8 * step):
+        some = where[a : a + 8 * step]
+        vectors = word_vectors(p, Words(buf, first[some], last[some], kinds[a : a + 8 * step]))
+        for d in "fb":
+            projected[d][a : a + len(some)] = vectors @ p[f"ww{d}"] + p[f"wb{d}"]
+    index, n = window_words(np.diff(borders))
+    rows = np.where(index >= 0, numbers[np.maximum(index, 0)] if len(numbers) else 0, -1)
+    logits = np.concatenate([window_logits(p, projected, rows[a : a + step]) for a in range(0, len(rows), step)])
+    best = index[[a + logits[a : a + k].argmax() for a, k in zip(np.cumsum(n) - n, n, strict=True)]]
+    taken = best[best >= 0]
+    kinds, where, numbers = np.unique(h[taken], return_index=True, return_inverse=True)
+    return Words(buf, first[taken][where], last[taken][where], kinds), numbers, (best >= 0).sum(1)
+
+
 def train(texts: list[bytes], labels: list[int], seed: int = 0, steps: int = STEPS) -> Params:
     rng, p = np.random.default_rng(seed), init(seed)
     m, v, t = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
@@ -213,11 +232,7 @@ def train(texts: list[bytes], labels: list[int], seed: int = 0, steps: int = STE
         order = rng.permutation(len(texts))
         for a in range(0, len(order), BATCH):
             some = order[a : a + BATCH]
-            buf, first, last, h, borders = cut_words([texts[i] for i in some])
-            counts = np.minimum(np.diff(borders), TRAIN_WORDS)
-            taken = np.concatenate([np.arange(b, b + k) for b, k in zip(borders[:-1], counts, strict=True)])
-            kinds, where, numbers = np.unique(h[taken], return_index=True, return_inverse=True)
-            w = Words(buf, first[taken][where], last[taken][where], kinds)
+            w, numbers, counts = highest_windows(p, [texts[i] for i in some])
             _, g = loss_and_gradients(p, w, numbers, counts, y[some])
             t += 1
             for k, x in p.items():
@@ -288,8 +303,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Params | None:
     share = F.when(F.col("toxic") == 1, DOCS_PER_CLASS / counts[1]).otherwise(DOCS_PER_CLASS / counts[0])
     drawn = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1_000_000)) < share * 1_000_000).select("doc_id", "toxic").limit(4 * DOCS_PER_CLASS)
     chosen = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
-    # No word is shorter than a byte with its separator, but most are longer: the cut keeps TRAIN_WORDS usual words.
-    sample = chosen.select(F.substring("text", 1, 12 * TRAIN_WORDS).alias("text"), "toxic").limit(4 * DOCS_PER_CLASS).collect()
+    sample = chosen.select("text", "toxic").limit(4 * DOCS_PER_CLASS).collect()
     sample.sort(key=lambda r: (r[1], r[0]))
     return train([r[0].encode() for r in sample], [r[1] for r in sample]) if sample else None
 
