@@ -5,8 +5,9 @@ rectifier and a softmax layer, all trained here in numpy with Adam. A filter ove
 so scoring adds rows of small tables. Every text is scored whole: all its windows, the last one padded, and the
 windows' probabilities averaged by their bytes.
 
-Training takes a bounded sample: of each of the ``MAX_LANGS`` most frequent languages about ``DOCS_PER_LANG``
-documents (chosen by a hash of their id), ``WINDOWS_PER_DOC`` spread windows of each. Scores do not depend on
+Training takes a bounded sample: of every language that occurs about ``DOCS_PER_LANG`` documents (chosen by a
+hash of their id; if ``DOCS`` are too few for that, an equal share of them, but ``LEAST_DOCS``),
+``WINDOWS_PER_DOC`` spread windows of each. Scores do not depend on
 anything but the text.
 
 Defined results: ``und`` with score 0 for a null text or one without a letter; ``und`` everywhere if there is
@@ -28,7 +29,7 @@ from kinfold.llm.wordhash import text_chunks
 from kinfold.plans.storage import small_arrow_batches
 
 WINDOW, FILTERS, WIDTHS = 256, 8, (2, 3, 4)
-MAX_LANGS, DOCS_PER_LANG, WINDOWS_PER_DOC = 64, 600, 3
+DOCS, DOCS_PER_LANG, LEAST_DOCS, WINDOWS_PER_DOC = 64 * 600, 600, 20, 3
 EPOCHS, BATCH, RATE = 12, 128, 0.01
 #: The pipeline rejects a document whose best language has less probability than this.
 LEAST_SCORE = 0.4
@@ -108,7 +109,8 @@ def train(texts: list[bytes], labels: list[str], seed: int = 0, epochs: int = EP
     f = len(WIDTHS) * FILTERS
     model = Model(langs, [rng.normal(0, 0.3, (w, 256, FILTERS)).astype(np.float32) for w in WIDTHS], np.zeros(f, np.float32), rng.normal(0, 0.3, (f, len(langs))).astype(np.float32), np.zeros(len(langs), np.float32))
     x = np.concatenate([windows(t)[:1] for t in texts])
-    y = np.array([langs.index(v) for v in labels])
+    number = {v: i for i, v in enumerate(langs)}
+    y = np.array([number[v] for v in labels])
     params = model.arrays()
     m, v, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     for _ in range(epochs):
@@ -126,15 +128,14 @@ def train(texts: list[bytes], labels: list[str], seed: int = 0, epochs: int = EP
 def fit(docs: DataFrame) -> Model | None:
     """Train on labelled rows (``doc_id, text, lang``); the caller leaves out what is held out."""
     rows = docs.where("text is not null and lang is not null and length(text) > 0")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    counts = rows.groupBy("lang").count().collect()
     if not counts:
         return None
-    share = F.lit(0.0)
-    for lang, n in counts:
-        share = F.when(F.col("lang") == lang, DOCS_PER_LANG / n).otherwise(share)
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1_000_000)) < share * 1_000_000)
+    each = min(DOCS_PER_LANG, max(LEAST_DOCS, DOCS // len(counts)))
+    shares = docs.sparkSession.createDataFrame([(lang, each / n) for lang, n in counts], "lang string, share double")
+    chosen = rows.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1_000_000)) < F.col("share") * 1_000_000)
     cuts = F.transform(F.sequence(F.lit(0), F.lit(WINDOWS_PER_DOC - 1)), lambda i: F.substring("text", F.lit(1) + F.floor(i * F.greatest(F.length("text") - WINDOW, F.lit(0)) / max(1, WINDOWS_PER_DOC - 1)).cast("int"), F.lit(WINDOW)))
-    sample = chosen.select("lang", F.explode(F.array_distinct(cuts)).alias("cut")).limit(2 * MAX_LANGS * DOCS_PER_LANG * WINDOWS_PER_DOC).collect()
+    sample = chosen.select("lang", F.explode(F.array_distinct(cuts)).alias("cut")).limit(2 * max(DOCS, each * len(counts)) * WINDOWS_PER_DOC).collect()
     if not sample:
         return None
     sample.sort(key=lambda r: (r[0], r[1]))

@@ -140,6 +140,11 @@ def test_language_held_out(spark):
     assert np.mean([r.lang_pred == r.lang for r in got]) >= 0.95
 
 
+def test_every_language_is_learned(spark):
+    rows = [(3 * i + j, f"{chr(0x4E00 + i)} {chr(0x4E00 + i) * 3} " * 5, f"l{i}") for i in range(70) for j in range(3)]
+    assert langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string")).langs == sorted({r[2] for r in rows})
+
+
 def test_language_defined_cases(spark):
     model = langid.train([b"abc abc abc", b"xyz xyz"], ["a", "b"], epochs=5)
     assert langid.identify(model, [b"", b"123 !?", b"abc"])[0][:2] == ["und", "und"]
