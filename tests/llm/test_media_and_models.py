@@ -127,14 +127,6 @@ def test_toxicity_defined_cases(spark):
     assert toxicity.fit(docs, docs.selectExpr("doc_id", "1 as toxic")) is None
 
 
-def test_toxicity_learns_from_whole_texts(spark):
-    """The marked passage stands behind 600 words, and only there."""
-    rng = np.random.default_rng(8)
-    rows = [(i, " ".join([*rng.choice(["one", "two", "three", "four", "five"], 600), *["vile"] * (i % 2), *rng.choice(["one", "two"], 5)])) for i in range(64)]
-    p = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int"))
-    assert (toxicity.Scorer(p).scores([t.encode() for _, t in rows]) >= 0.5).tolist() == [i % 2 == 1 for i, _ in rows]
-
-
 def test_language_held_out(spark):
     got = queries.op7_langid(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out and lang is not null").collect()
     assert np.mean([r.lang_pred == r.lang for r in got]) >= 0.95
