@@ -1,13 +1,16 @@
 """Byte-level BPE encoding and decoding with a pair occurrence index.
 
-A batch's texts are split at the added tokens and then into pretokens. The distinct pretokens that are not known
-yet are laid out in one array of symbols. An index maps every adjacent pair to all its positions there; the ranks
-of the pairs that occur are taken in ascending order from a heap, each merge is applied at all listed positions
-from left to right, and the lists of the pairs that touch the merged symbols are updated. Ids of known pretokens
-are kept in a table of bounded size for the worker's later batches.
+Texts are split at the added tokens and then into pretokens, about ``PIECE`` characters at a time; a longer text is
+cut between a word and the blank before the next, where a pretoken ends in any case. The distinct pretokens of a piece
+that the partition has not had yet are laid out in one array of symbols. An index maps every adjacent pair to all its
+positions there; the ranks of the pairs that occur are taken in ascending order from a heap, each merge is applied at
+all listed positions from left to right, and the lists of the pairs that touch the merged symbols are updated. The ids
+of a partition's pretokens are kept for its later pieces by the pretokens' bytes, in a table of bounded size that ends
+with the partition. (One index over a whole partition would grow with it; pieces give the same ids.)
 
 Defined results: a null text is an empty text: no tokens. Texts of any length are encoded whole. Rows with null
-or repeated ids are each encoded as they stand; further columns are ignored.
+or repeated ids are each encoded as they stand; further columns are ignored, whatever their names. An empty table gives
+an empty table.
 """
 
 from __future__ import annotations
@@ -24,13 +27,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.wordhash import U64, hash_spans, text_chunks
+from kinfold.llm.wordhash import frugal, text_chunks
 from kinfold.plans.storage import small_arrow_batches
 
 #: The pattern of byte-level pretokenizers (a fixed value of the published vocabulary).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pretokens whose ids a worker keeps; beyond that it starts anew.
-KNOWN = 1_000_000
+#: Pretokens, and bytes of them, whose ids a partition keeps; beyond that it starts anew.
+KNOWN, KNOWN_BYTES = 1 << 17, 8 << 20
+#: Characters that are encoded at a time, and ids that are decoded at a time.
+PIECE = 1 << 20
+_CUT = regex.compile(r"(?<=\S) (?=\S)")
 
 
 def byte_letters() -> dict[int, str]:
@@ -188,70 +194,84 @@ class Bpe:
         self.token_size = np.fromiter(map(len, tokens), np.int64, len(tokens))
         self.token_start = np.cumsum(self.token_size) - self.token_size
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")").split if self.added else None
-        self._forget()
 
-    def _forget(self) -> None:
-        #: Hashes of known pretokens, ascending, and their numbers; all their ids by number, and how many each has.
-        self.hashes, self.numbers = np.zeros(0, U64), np.zeros(0, np.int64)
-        self.flat, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-
-    def _find(self, hashes: np.ndarray) -> np.ndarray:
-        """Numbers of pretokens, -1 for unknown ones."""
-        if not len(self.hashes):
-            return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, self.numbers[at], -1)
-
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of texts without added tokens."""
-        if len(self.hashes) > KNOWN:
-            self._forget()
-        text = "".join(texts)
+    def _encode(self, text: str, borders: np.ndarray, known: "Known") -> list[np.ndarray]:
+        """Ids of texts without added tokens that stand side by side in ``text``."""
         points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        borders = np.concatenate([[0], np.cumsum(sizes)])
-        starts = pretoken_starts(points, borders[:-1][sizes > 0])
+        starts = pretoken_starts(points, borders[:-1][np.diff(borders) > 0])
         raw = text.encode()
-        byte = np.concatenate([[0], np.cumsum(1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000), dtype=np.int64)])
-        a = byte[starts]
-        b = np.append(a[1:], len(raw))
-        hashes, where, back = np.unique(hash_spans(np.frombuffer(raw, np.uint8), a, b), return_index=True, return_inverse=True)
-        number = self._find(hashes)
-        new = np.flatnonzero(number < 0)
-        if len(new):
-            flat, lengths = PairIndex([raw[a[i] : b[i]] for i in where[new].tolist()], self.first, self.merges).run()
-            number[new] = np.arange(len(self.lengths), len(self.lengths) + len(new))
-            self.flat, self.lengths = np.concatenate([self.flat, flat]), np.concatenate([self.lengths, lengths])
-            hashes, numbers = np.concatenate([self.hashes, hashes[new]]), np.concatenate([self.numbers, number[new]])
-            order = np.argsort(hashes, kind="stable")
-            self.hashes, self.numbers = hashes[order], numbers[order]
-        number = number[back]
-        n = self.lengths[number]
+        size = (1 + (points >= 0x80).view(np.uint8) + (points >= 0x800).view(np.uint8) + (points >= 0x10000).view(np.uint8)).cumsum(dtype=np.int64)
+        at = np.append(np.concatenate([[0], size])[starts], len(raw)).tolist()
+        number, n = known.numbers([raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], self)
         end = np.cumsum(n)
         total = int(end[-1]) if len(end) else 0
-        begin = np.cumsum(self.lengths) - self.lengths
-        ids = self.flat[np.repeat(begin[number] - (end - n), n) + np.arange(total)]
+        ids = known.flat[np.repeat(known.begin[number] - (end - n), n) + np.arange(total)]
         cuts = np.concatenate([[0], end])[np.searchsorted(starts, borders)]
         return [ids[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
 
-    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+    def _plain(self, texts: list[str], known: "Known") -> Iterator[np.ndarray]:
+        """Ids of texts without added tokens, short ones together and long ones in pieces."""
+        group: list[str] = []
+        for text in [*texts, None]:
+            if group and (text is None or sum(map(len, group)) + len(text) > PIECE):
+                yield from self._encode("".join(group), np.concatenate([[0], np.cumsum([len(t) for t in group])]), known)
+                group = []
+            if text is None:
+                return
+            if len(text) <= PIECE:
+                group.append(text)
+                continue
+            parts, at = [], 0
+            while at < len(text):
+                cut = _CUT.search(text, at + PIECE)
+                end = cut.start() if cut else len(text)
+                parts += self._encode(text[at:end], np.array([0, end - at]), known)
+                at = end
+            yield np.concatenate(parts)
+
+    def encode_batch(self, texts: list[str], known: "Known | None" = None) -> list[np.ndarray]:
         """Ids of each text, added tokens included, without special tokens around it."""
         parts = [self.split_added(t) if self.split_added and any(a in t for a in self.added) else [t] for t in texts]
-        ids = iter(self._encode([p for some in parts for p in some[::2]]))
+        ids = self._plain([p for some in parts for p in some[::2]], Known() if known is None else known)
         return [next(ids) if len(some) == 1 else np.concatenate([np.array([self.added[p]], np.uint32) if n % 2 else next(ids) for n, p in enumerate(some)]) for some in parts]
 
-    def count_batch(self, texts: list[str]) -> list[int]:
-        return [len(x) for x in self.encode_batch(texts)]
+    def _bytes(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The bytes of tokens, and how many each has."""
+        ids = ids.astype(np.int64)
+        n = self.token_size[ids]
+        end = np.cumsum(n)
+        return self.token_bytes[np.repeat(self.token_start[ids] - (end - n), n) + np.arange(int(end[-1]) if len(end) else 0)].tobytes(), n
 
     def decode_batch(self, ids: list[np.ndarray]) -> list[str]:
         """The texts of ids, added tokens kept; bytes that are no UTF-8 become U+FFFD."""
-        every = np.concatenate([np.zeros(0, np.int64), *ids]).astype(np.int64)
-        n = self.token_size[every]
-        end = np.cumsum(n)
-        total = int(end[-1]) if len(end) else 0
-        raw = self.token_bytes[np.repeat(self.token_start[every] - (end - n), n) + np.arange(total)].tobytes()
-        cuts = np.concatenate([[0], end])[np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)].tolist()
-        return [raw[a:b].decode("utf-8", "replace") for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return [b"".join(self._bytes(x[a : a + PIECE])[0] for a in range(0, len(x), PIECE)).decode("utf-8", "replace") for x in ids]
+
+
+class Known:
+    """Ids of pretokens that a partition has had, by their bytes."""
+
+    def __init__(self) -> None:
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.bytes = 0
+        #: All ids side by side, and where each pretoken's begin and how many it has.
+        self.flat, self.begin, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def numbers(self, words: list[bytes], bpe: Bpe) -> tuple[np.ndarray, np.ndarray]:
+        """Number of each pretoken, and how many ids it has; new ones are encoded through a pair index."""
+        if len(self.number) > KNOWN or self.bytes > KNOWN_BYTES:
+            self._forget()
+        new = list(dict.fromkeys(w for w in words if w not in self.number))
+        if new:
+            flat, sizes = PairIndex(new, bpe.first, bpe.merges).run()
+            self.bytes += sum(map(len, new))
+            self.number.update(zip(new, range(len(self.size), len(self.size) + len(new)), strict=True))
+            self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(sizes) - sizes])
+            self.flat, self.size = np.concatenate([self.flat, flat]), np.concatenate([self.size, sizes])
+        number = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        return number, self.size[number]
 
 
 @cache
@@ -259,24 +279,29 @@ def load(path: str) -> Bpe:
     return Bpe(path)
 
 
+def _hex(data: bytes) -> str:
+    return hashlib.sha256(data).hexdigest()
+
+
 def _encode(path: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
+        bpe, known = load(path), Known()
         for batch in batches:
-            for part, raw in text_chunks(batch, limit=1 << 20):
-                ids = bpe.encode_batch([t.decode() for t in raw])
-                rest = [part.column(c).combine_chunks() for c in part.column_names if c != "text"]
+            for part, raw in text_chunks(batch):
+                ids = bpe.encode_batch([t.decode() for t in raw], known)
                 names = [c for c in part.column_names if c != "text"]
                 cols = [
+                    *(part.column(c).combine_chunks() for c in names),
                     pa.array([len(x) for x in ids], pa.int64()),
-                    pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids]),
-                    pa.array([hashlib.sha256(x.encode()).hexdigest() for x in bpe.decode_batch(ids)]),
+                    pa.array([_hex(x.astype("<u4").tobytes()) for x in ids], pa.string()),
+                    pa.array([_hex(x.encode()) for x in bpe.decode_batch(ids)], pa.string()),
                 ]
                 if with_ids:
-                    cols.append(pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays([*rest, *cols], [*names, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
+                    ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+                    cols.append(pa.ListArray.from_arrays(ends, np.concatenate(ids).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays(cols, [*names, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
 
-    return run
+    return frugal(run)
 
 
 def encode(docs: DataFrame, tokenizer: str, ids: bool = False, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -296,7 +321,7 @@ def _decode(path: str):
             text = [None if x is None else t for x, t in zip(ids, bpe.decode_batch([np.array(x or [], np.int64) for x in ids]), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(text, pa.string())], ["doc_id", "text"])
 
-    return run
+    return frugal(run)
 
 
 def decode(tokens: DataFrame, tokenizer: str) -> DataFrame:
@@ -306,14 +331,14 @@ def decode(tokens: DataFrame, tokenizer: str) -> DataFrame:
 
 def _count(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
+        bpe, known = load(path), Known()
         for batch in batches:
-            for part, raw in text_chunks(batch, limit=1 << 20):
-                n = bpe.count_batch([t.decode() for t in raw])
+            for part, raw in text_chunks(batch):
+                n = [len(x) for x in bpe.encode_batch([t.decode() for t in raw], known)]
                 names = [c for c in part.column_names if c != "text"]
                 yield pa.RecordBatch.from_arrays([*(part.column(c).combine_chunks() for c in names), pa.array(n, pa.int64())], [*names, "n_tokens"])
 
-    return run
+    return frugal(run)
 
 
 def count(docs: DataFrame, tokenizer: str, keep: tuple[str, ...]) -> DataFrame:

@@ -10,8 +10,9 @@ rarest in the segment to the most frequent one; the rarest term's positions minu
 and each further list, shifted by its own offset, is intersected with them. What is left is an exact phrase match.
 ``proximity_matches`` instead asks that every term occur near the rarest one, in any order.
 
-The benchmark is measured first. Its windows go to the tasks in parts of at most ``PART_CHARS`` characters, one
-pass over the index a part, so what is broadcast is bounded whatever the benchmark's size.
+The benchmark is measured first. Its windows go to the tasks in parts of about ``PART_CHARS`` characters, one
+pass over the index a part, so what the driver holds and what is broadcast (some 12 bytes a character) is bounded
+whatever the benchmark's size. Words are known by 64-bit hashes; a hit needs as many equal ones as the window has words.
 
 Defined results: a null or empty text, or one without words, has no words, hits or items; a null or wordless
 benchmark item has no windows; an item shorter than the window is one window as a whole. Rows that repeat a
@@ -30,12 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.wordhash import U64, WORD_BYTES, doc_words, mix, text_chunks
+from kinfold.llm.wordhash import U64, WORD_BYTES, doc_words, frugal, text_chunks
 from kinfold.plans.storage import materialize, small_arrow_batches
 
 WINDOW, CONTAMINATED = 8, 2
 BLOCK_BYTES = 1 << 20
-PART_CHARS = 32 << 20
+PART_CHARS = 2 << 20
 #: Candidates of one intersection step held at once.
 STEP = 1 << 20
 
@@ -64,7 +65,7 @@ def build_index(docs: DataFrame) -> DataFrame:
     """The stored index of ``docs`` (doc_id, text): one row a segment, written in the shared folder."""
     small_arrow_batches(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
-    return materialize(source.mapInArrow(_segments, SEGMENT), "postings")
+    return materialize(source.mapInArrow(frugal(_segments), SEGMENT), "postings")
 
 
 class Segment:
@@ -150,13 +151,19 @@ class Windows:
     def __init__(self, items: list[tuple[object, str | None]], window: int) -> None:
         self.items = sorted({str(i) for i, _ in items})
         number = {x: n for n, x in enumerate(self.items)}
-        by_length: dict[int, dict[bytes, set[int]]] = {}
         h, at = doc_words([(t or "").encode() for _, t in items], WORD_BYTES)
-        for (item, _), a, b in zip(items, at[:-1], at[1:], strict=True):
-            size = min(window, b - a)
-            for s in range(a, b - size + 1) if size else ():
-                by_length.setdefault(int(size), {}).setdefault(h[s : s + size].tobytes(), set()).add(number[str(item)])
-        self.groups = [(np.frombuffer(b"".join(g), U64).reshape(-1, size), [sorted(x) for x in g.values()]) for size, g in by_length.items()]
+        sizes = np.minimum(window, np.diff(at))
+        owner = np.array([number[str(i)] for i, _ in items], np.int64)
+        #: By length: the distinct windows, and of each the items that have it, side by side with their borders.
+        self.groups: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for size in np.unique(sizes[sizes > 0]).tolist():
+            mine = np.flatnonzero(sizes == size)
+            n = at[mine + 1] - at[mine] - size + 1
+            start = np.repeat(at[mine], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            every = h[start[:, None] + np.arange(size)]
+            windows, which = np.unique(every, axis=0, return_inverse=True)
+            pairs = np.unique(np.stack([which.ravel(), np.repeat(owner[mine], n)], 1), axis=0)
+            self.groups.append((windows, pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(windows) + 1))))
 
 
 def _parts(benchmark: DataFrame) -> Iterator[list[tuple[object, str | None]]]:
@@ -178,13 +185,13 @@ def _matches(items: Windows, slop: int | None):
                 n = len(seg.doc_ids)
                 spans: list[list[int]] = [[] for _ in range(n)]
                 named: list[set[int]] = [set() for _ in range(n)]
-                for windows, of in items.groups:
+                for windows, owners, borders in items.groups:
                     which, start = seg.phrases(windows) if slop is None else seg.near(windows, slop)
                     size = windows.shape[1] if slop is None else 1
                     for w, s, d in zip(which.tolist(), start.tolist(), seg.doc_of(start).tolist(), strict=True):
                         s -= int(seg.borders[d])
                         spans[d] += [s, s + size]
-                        named[d].update(of[w])
+                        named[d].update(owners[borders[w] : borders[w + 1]].tolist())
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(seg.doc_ids, pa.int64()),
@@ -198,7 +205,7 @@ def _matches(items: Windows, slop: int | None):
                     ["doc_id", "text_md5", "segment", "place", "n_words", "spans", "items"],
                 )
 
-    return run
+    return frugal(run)
 
 
 MATCH = "doc_id long, text_md5 string, segment string, place long, n_words long, spans array<bigint>, items array<string>"
@@ -255,11 +262,12 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``doc_id, text_md5, n_words, n_hit, n_items, items_sha256, contaminated`` for every document."""
-    return phrase_matches(docs, benchmark, window).mapInArrow(_digest, "doc_id long, text_md5 string, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return phrase_matches(docs, benchmark, window).mapInArrow(frugal(_digest), "doc_id long, text_md5 string, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` that are not contaminated. A verdict depends on the text alone and is joined by its
-    digest, so rows with null or repeated ids get their own."""
+    digest, so rows with null or repeated ids get their own; all columns stay, whatever their names."""
     bad = materialize(contamination(docs, benchmark, window).where("contaminated").select("text_md5").distinct(), "contaminated")
-    return docs.join(bad.select(F.col("text_md5").alias("__bad")), F.md5(F.coalesce("text", F.lit(""))) == F.col("__bad"), "left_anti")
+    digest = next(c for i in range(len(docs.columns) + 1) if (c := f"text_md5_{i}") not in docs.columns)
+    return docs.join(bad.select(F.col("text_md5").alias(digest)), F.md5(F.coalesce("text", F.lit(""))) == F.col(digest), "left_anti")

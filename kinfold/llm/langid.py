@@ -5,35 +5,37 @@ rectifier and a softmax layer, all trained here in numpy with Adam. A filter ove
 so scoring adds rows of small tables. Every text is scored whole: all its windows, the last one padded, and the
 windows' probabilities averaged by their bytes.
 
-Training takes a bounded sample: of every language that occurs about ``DOCS_PER_LANG`` documents (chosen by a
-hash of their id; if ``DOCS`` are too few for that, an equal share of them, but ``LEAST_DOCS``),
-``WINDOWS_PER_DOC`` spread windows of each. Scores do not depend on
-anything but the text.
-
-Defined results: ``und`` with score 0 for a null text or one without a letter; ``und`` everywhere if there is
-nothing to learn from. Rows with null or repeated ids are each judged by their own text. Further columns are ignored.
+Training takes a bounded sample of labelled windows. Of every language that occurs about ``DOCS_PER_LANG`` documents
+are drawn (if there are so many languages that ``DOCS`` do not suffice, an equal share of these, but ``LEAST_DOCS``),
+and of all windows of their whole texts ``WINDOWS_PER_LANG`` for each language; both draws are the first in the order of
+a hash. Scores do not depend on anything but the text.
+
+Defined results: ``und`` with score 0 for a null text or one without a letter (``\\p{L}``); ``und`` everywhere if there
+is nothing to learn from. Of equal probabilities the first language in alphabetical order wins. Rows with null or
+repeated ids are each judged by their own text. Further columns are ignored, whatever their names. An empty table gives
+an empty table.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinfold.llm.wordhash import text_chunks
+from kinfold.llm.wordhash import frugal, text_chunks
 from kinfold.plans.storage import small_arrow_batches
 
 WINDOW, FILTERS, WIDTHS = 256, 8, (2, 3, 4)
-DOCS, DOCS_PER_LANG, LEAST_DOCS, WINDOWS_PER_DOC = 64 * 600, 600, 20, 3
+DOCS, DOCS_PER_LANG, LEAST_DOCS, WINDOWS_PER_LANG = 64 * 600, 600, 20, 1800
 EPOCHS, BATCH, RATE = 12, 128, 0.01
 #: The pipeline rejects a document whose best language has less probability than this.
 LEAST_SCORE = 0.4
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 @dataclass
@@ -127,19 +129,22 @@ def train(texts: list[bytes], labels: list[str], seed: int = 0, epochs: int = EP
 
 def fit(docs: DataFrame) -> Model | None:
     """Train on labelled rows (``doc_id, text, lang``); the caller leaves out what is held out."""
-    rows = docs.where("text is not null and lang is not null and length(text) > 0")
+    rows = docs.where("text is not null and lang is not null and length(text) > 0").select("doc_id", "text", "lang")
     counts = rows.groupBy("lang").count().collect()
     if not counts:
         return None
     each = min(DOCS_PER_LANG, max(LEAST_DOCS, DOCS // len(counts)))
-    shares = docs.sparkSession.createDataFrame([(lang, each / n) for lang, n in counts], "lang string, share double")
-    chosen = rows.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1_000_000)) < F.col("share") * 1_000_000)
-    cuts = F.transform(F.sequence(F.lit(0), F.lit(WINDOWS_PER_DOC - 1)), lambda i: F.substring("text", F.lit(1) + F.floor(i * F.greatest(F.length("text") - WINDOW, F.lit(0)) / max(1, WINDOWS_PER_DOC - 1)).cast("int"), F.lit(WINDOW)))
-    sample = chosen.select("lang", F.explode(F.array_distinct(cuts)).alias("cut")).limit(2 * max(DOCS, each * len(counts)) * WINDOWS_PER_DOC).collect()
-    if not sample:
-        return None
-    sample.sort(key=lambda r: (r[0], r[1]))
-    return train([r[1].encode()[:WINDOW] for r in sample], [r[0] for r in sample])
+    # Twice the share is drawn by hash, so that almost surely enough are left to take the first of.
+    shares = docs.sparkSession.createDataFrame([(lang, 2 * each / n) for lang, n in counts], "lang string, share double")
+    part = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 40)) / float(1 << 40) / F.col("share")
+    drawn = rows.join(F.broadcast(shares), "lang").withColumn("part", part).where("part < 1")
+    chosen = drawn.orderBy("part", F.xxhash64("text")).limit(each * len(counts))
+    at = F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.octet_length("text") / WINDOW), F.lit(1)).cast("int") - 1))
+    cut = chosen.select("lang", F.encode("text", "UTF-8").alias("raw"), at.alias("at")).select("lang", F.substring("raw", F.col("at") * WINDOW + 1, F.lit(WINDOW)).alias("cut"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("cut"), "cut"))
+    sample = cut.withColumn("rank", rank).where(F.col("rank") <= max(WINDOWS_PER_LANG * each // DOCS_PER_LANG, LEAST_DOCS)).select("lang", "cut").collect()
+    sample.sort(key=lambda r: (r[0], bytes(r[1])))
+    return train([bytes(r[1]) for r in sample], [r[0] for r in sample])
 
 
 def identify(model: Model | None, texts: list[bytes]) -> tuple[list[str], list[float]]:
@@ -167,7 +172,7 @@ def _predict(model: Model | None):
                 names = [c for c in part.column_names if c != "text"]
                 yield pa.RecordBatch.from_arrays([*(part.column(c).combine_chunks() for c in names), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
 
-    return run
+    return frugal(run)
 
 
 def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -186,7 +191,7 @@ def _filter(model: Model | None):
                 keep = [v != "und" and s >= LEAST_SCORE for v, s in zip(lang, score, strict=True)]
                 yield from part.filter(pa.array(keep, pa.bool_())).to_batches()
 
-    return run
+    return frugal(run)
 
 
 def drop_unidentified(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -12,12 +12,18 @@ No bucket is paired with itself in full. The first round compares members only w
 class. The second looks only at buckets that still hold several components: a member outside the most frequent
 one is compared with members of other components, and with no component again once it is linked to it, until every
 surviving pair is linked, verified or already connected. Only links leave the tasks. Large buckets are dealt in
-blocks, by members and by bytes, and pairs of blocks are the tasks' units.
+blocks, by members and by bytes, and pairs of blocks are the tasks' units. A bucket or a class may hold a third of all
+rows: what is joined by it are stored tables on both sides, so that each join stands on two plain exchanges, which
+Spark's adaptive skew join splits; texts without words, which have no class, are not joined at all.
+
+Words are known by 64-bit hashes and shingles by 64-bit hashes of these: two shingles are taken for one with a chance of
+about 2**-64 a pair. Classes are told by 128-bit digests of whole sets.
 
 Defined results: a null or empty text, or one without words, has no shingles and is linked with nothing; a text
 with fewer words than ``shingle`` has its whole word sequence as one shingle. Rows that repeat a doc_id are
 each judged by their own text. A null doc_id takes no part in linking: its component is null and it is kept.
-Other input columns are ignored, whatever their names. An empty table gives an empty table.
+Of rows of one class the one with the smallest doc_id is kept. Other input columns are ignored, whatever their names.
+An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -32,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.wordhash import NOT_SPACE, U64, doc_words, mix, text_chunks
+from kinfold.llm.wordhash import NOT_SPACE, U64, doc_words, frugal, mix, text_chunks
 from kinfold.operators.graph import connected_components
 from kinfold.plans.storage import materialize, small_arrow_batches
 
@@ -79,7 +85,7 @@ def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
     m = max(n - k + 1, 0)
     whole = np.zeros(m, U64)
     for j in range(k):
-        whole += h[j : j + m] * _PART[j]
+        whole += h[j : j + m] * _PART[j] if m else h[:0]
     whole = mix(whole)
     out = []
     for a, b in zip(at[:-1], at[1:], strict=True):
@@ -126,7 +132,7 @@ def _sketches(k: int):
                     ["doc_id", "n_shingles", "class", "sig"],
                 )
 
-    return run
+    return frugal(run)
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -151,7 +157,7 @@ def _prune(least: list[int]):
                 alive, _ = surviving(_matrix(batch.column("sig_a")), _matrix(batch.column("sig_b")), least)
                 yield batch.select(["a", "b"]).take(pa.array(alive))
 
-    return run
+    return frugal(run)
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -217,7 +223,7 @@ def _cross(least: list[int], rows: int, percent: int):
         if held:
             yield solve(pa.concat_tables(held))
 
-    return run
+    return frugal(run)
 
 
 def _sets_of(k: int):
@@ -227,7 +233,7 @@ def _sets_of(k: int):
                 sets = [s.tobytes() for s in shingle_sets(texts, k)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").combine_chunks(), pa.array([xxhash.xxh3_128_digest(s) if s else None for s in sets], pa.binary()), pa.array(sets, pa.large_binary())], ["doc_id", "class", "words"])
 
-    return run
+    return frugal(run)
 
 
 def _verify(percent: int):
@@ -236,7 +242,7 @@ def _verify(percent: int):
             keep = [similar(np.frombuffer(x.as_py(), U64), np.frombuffer(y.as_py(), U64), percent) for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return run
+    return frugal(run)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
@@ -255,10 +261,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float =
         reps.select("id", F.posexplode(F.array(*[F.substring("sig", 1 + width * i, width) for i in range(BANDED // rows)]))).select("id", F.col("pos").alias("band"), F.xxhash64("pos", "col").alias("bucket")),
         "bands",
     )
-    sizes = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = materialize(bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     shared = materialize(bands.join(sizes, "bucket").select("bucket", "band", "id", "n"), "buckets")
     central = shared.groupBy("id").agg(F.sum(F.log2("n")).alias("c"))
-    pivots = shared.join(central, "id").groupBy("bucket").agg(F.max_by("id", F.struct("c", -F.col("id"))).alias("pivot"))
+    pivots = materialize(shared.join(central, "id").groupBy("bucket").agg(F.max_by("id", F.struct("c", -F.col("id"))).alias("pivot")), "pivots")
     star = shared.join(pivots, "bucket").where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
     sig = reps.select("id", "sig")
     scored = star.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
@@ -274,10 +280,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float =
     both = candidates.join(sets.select(F.col("id").alias("a"), F.col("words").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("words").alias("set_b")), "b")
     links = materialize(both.mapInArrow(_verify(percent), "a long, b long"), "links")
     found = connected_components(links, "a", "b")
-    placed = shared.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")).join(reps.select("id", "n_shingles"), "id")
+    placed = materialize(shared.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")).join(reps.select("id", "n_shingles"), "id"), "placed")
     # A bucket of two had its only pair tried in the first round.
     blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") * 8 / BLOCK_BYTES)).cast("int")
-    open_buckets = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"), blocks.alias("blocks")).where("lo < hi and m > 2").select("bucket", "blocks")
+    several = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"), blocks.alias("blocks")).where("lo < hi and m > 2")
+    open_buckets = materialize(several.select("bucket", "blocks"), "open-buckets")
     member = materialize(placed.join(open_buckets, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).select("bucket", "band", "id", "component", "blocks", "block"), "open")
     if not member.isEmpty():
         dealt = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
@@ -289,17 +296,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float =
         more = materialize(runs.mapInArrow(_cross(least, rows, percent), "a long, b long"), "cross-links")
         if not more.isEmpty():
             found = connected_components(links.unionByName(more), "a", "b")
-    label = classes.join(found, "id", "left").select("class", F.coalesce("component", "id").alias("component_id"))
-    # A class may hold a third of all rows: its one label row is repeated over a few salts to split that join.
-    salted = sketch.select("doc_id", "n_shingles", "class", F.pmod(F.xxhash64("doc_id"), F.lit(16)).alias("salt"))
-    spread = label.select("class", "component_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))).alias("salt"))
-    joined = salted.join(spread, ["class", "salt"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
-    return joined.withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
+    label = materialize(classes.join(found, "id", "left").select("class", F.coalesce("component", "id").alias("component_id")), "labels")
+    worded = F.col("class").isNotNull() & F.col("doc_id").isNotNull()
+    joined = sketch.where(worded).select("doc_id", "n_shingles", "class").join(label, "class").select("doc_id", "n_shingles", "component_id")
+    alone = sketch.where(~worded).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return joined.union(alone).withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that are kept: one document of each component (and of each repeated row)."""
+    """The rows of ``docs`` that are kept: one document of each component (and of each repeated row); all columns stay."""
     kept = near_duplicates(docs, shingle, threshold).where("kept and doc_id is not null").select("doc_id").distinct()
-    key = F.md5(F.coalesce("text", F.lit("")))
-    one = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").withColumn("__text_md5", key).dropDuplicates(["doc_id", "__text_md5"]).drop("__text_md5")
-    return one.unionByName(docs.where("doc_id is null"))
+    digest = next(c for i in range(len(docs.columns) + 1) if (c := f"text_md5_{i}") not in docs.columns)
+    one = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").withColumn(digest, F.md5(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", digest])
+    return one.select(*(F.col(f"`{c}`") for c in docs.columns)).unionByName(docs.where("doc_id is null"))

@@ -6,12 +6,16 @@ embeddings of its first bytes and of the whole word. A second bidirectional GRU
 that overlap by a quarter; attention pools its states and a logistic layer scores the window. A text's score is that of
 its highest window, over all windows of the whole text.
 
-Training takes a bounded sample of labelled texts (at most about ``DOCS_PER_CLASS`` a class, chosen by a hash of
-their id, of these the windows of the first ``TRAIN_WORDS`` words; the label is held against the highest
-window; ``STEPS`` steps, and to the end of the last round). Word vectors of frequent words are kept by a worker in a table of bounded size.
+Training takes a bounded sample of labelled texts: of each class at most about ``DOCS_PER_CLASS`` (the first in the order
+of a hash of their id). All windows of the whole texts are scored in every step and the label is held against the highest,
+through which alone a gradient goes. Both classes come equally often in ``STEPS`` steps; a share of the words is shown
+without its hashed embeddings, so that the network learns spellings; the result is the mean of the parameters over the
+second half of the steps. Word vectors of frequent words are kept in a table of bounded size while a partition is scored.
 
 Defined results: a null or wordless text gets the score of an empty window; without both labels to learn from every
-score is 0. Rows with null or repeated ids are each scored by their own text; further columns are ignored.
+score is 0. Rows with null or repeated ids are each scored by their own text, and equal texts get the same score but for
+the last digits (float32 sums depend on the batch). Further columns are ignored, whatever their names. An empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -23,15 +27,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.wordhash import U64, WORD_BYTES, hash_spans, hash_words, text_chunks
+from kinfold.llm.wordhash import SLICE, U64, WORD_BYTES, frugal, mix, slices, text_chunks
 from kinfold.plans.storage import small_arrow_batches
 
 CHARS, WORDS, STRIDE = 12, 32, 24
 BUCKETS, EMBED, CHAR_EMBED, CHAR_HIDDEN, HIDDEN = 4096, 6, 8, 8, 8
-DOCS_PER_CLASS, TRAIN_WORDS = 1200, 400
-STEPS, BATCH, RATE = 400, 32, 0.01
+DOCS_PER_CLASS = 1200
+STEPS, BATCH, RATE = 500, 32, 0.01
 TOXIC = 0.7
 KNOWN = 200_000
+#: Bucket of words whose hash the training hides (its row stays 0), so that the network has to spell them; how many it hides.
+UNKNOWN, HIDDEN_WORDS = 0, 0.55
+_FIRST, _SECOND = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
 
 Params = dict[str, np.ndarray]
 
@@ -44,6 +51,7 @@ def init(seed: int = 0) -> Params:
 
     size = 2 * CHAR_HIDDEN + 2 * EMBED
     p = {"chars": normal(256, CHAR_EMBED, scale=0.3), "starts": normal(BUCKETS, EMBED, scale=0.1), "words": normal(BUCKETS, EMBED, scale=0.1)}
+    p["words"][UNKNOWN] = p["starts"][UNKNOWN] = 0
     for d in "fb":
         p |= {f"cw{d}": normal(CHAR_EMBED, 3 * CHAR_HIDDEN), f"cu{d}": normal(CHAR_HIDDEN, 3 * CHAR_HIDDEN), f"cb{d}": np.zeros(3 * CHAR_HIDDEN, np.float32)}
         p |= {f"ww{d}": normal(size, 3 * HIDDEN), f"wu{d}": normal(HIDDEN, 3 * HIDDEN), f"wb{d}": np.zeros(3 * HIDDEN, np.float32)}
@@ -95,26 +103,35 @@ def gru_back(dout: np.ndarray, u: np.ndarray, tape: list) -> tuple[np.ndarray, n
     return dx, du
 
 
+def _whole(letters: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words as rows of CHARS bytes (zeros behind their ends; no word holds one)."""
+    wide = np.zeros((len(letters), 16), np.uint8)
+    wide[:, :CHARS] = letters
+    k = wide.view(U64)
+    return mix(k[:, 0] * _FIRST + mix(k[:, 1] * _SECOND))
+
+
 class Words:
     """Distinct words: their bytes (count, CHARS), byte masks and the two hash buckets."""
 
-    def __init__(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, whole: np.ndarray) -> None:
-        at = starts[:, None] + np.arange(CHARS)
-        self.mask = (at < ends[:, None]).astype(np.float32)
-        self.bytes = np.where(self.mask > 0, buf[np.minimum(at, max(len(buf) - 1, 0))], 0) if len(starts) else np.zeros((0, CHARS), np.uint8)
-        self.start = (hash_spans(buf, starts, np.minimum(ends, starts + 4)) % U64(BUCKETS)).astype(np.int64)
-        self.whole = (whole % U64(BUCKETS)).astype(np.int64)
+    def __init__(self, letters: np.ndarray, whole: np.ndarray) -> None:
+        self.bytes, self.mask = letters, (letters > 0).astype(np.float32)
+        self.start = (mix(np.ascontiguousarray(letters[:, :4]).view(np.uint32)[:, 0].astype(U64) * _FIRST) % U64(BUCKETS - 1)).astype(np.int64) + 1
+        self.whole = (whole % U64(BUCKETS - 1)).astype(np.int64) + 1
 
 
-def cut_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Buffer, word starts, ends and hashes, and the texts' borders in the words."""
-    buf = np.frombuffer(b" ".join(texts).lower() + b" ", np.uint8)
-    starts, ends, _ = hash_words(buf, WORD_BYTES)
-    pieces = np.maximum(-(-(ends - starts) // CHARS), 1)
+def cut_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all words (count, CHARS), their hashes, and the texts' borders in them."""
+    buf = np.frombuffer(b" ".join(texts).translate(WORD_BYTES) + b" " * CHARS, np.uint8)
+    edge = np.flatnonzero(np.diff(buf != 0x20, prepend=False))
+    starts, ends = edge[::2], edge[1::2]
+    pieces = -(-(ends - starts) // CHARS)
     first = np.repeat(starts, pieces) + CHARS * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
-    last = np.minimum(first + CHARS, np.repeat(ends, pieces))
+    size = np.minimum(np.repeat(ends, pieces) - first, CHARS)
+    letters = np.lib.stride_tricks.sliding_window_view(buf, CHARS)[first]
+    letters[np.arange(CHARS) >= size[:, None]] = 0
     borders = np.cumsum([len(t) + 1 for t in texts])
-    return buf, first, last, hash_spans(buf, first, last), np.concatenate([[0], np.searchsorted(first, borders)])
+    return letters, _whole(letters), np.concatenate([[0], np.searchsorted(first, borders)])
 
 
 def word_vectors(p: Params, w: Words, tape: dict | None = None) -> np.ndarray:
@@ -205,26 +222,49 @@ def loss_and_gradients(p: Params, w: Words, numbers: np.ndarray, counts: np.ndar
     return loss, g
 
 
+def highest(p: Params, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The words (as bytes) of each text's highest window side by side, and how many each has.
+
+    All windows of the whole texts are scored; only the highest one of a text passes a gradient.
+    """
+    scorer, parts, counts = Scorer(p), [np.zeros((0, CHARS), np.uint8)], []
+    for text in texts:
+        logits, _, index = scorer.windows([text])
+        letters, h, _ = cut_words([text])
+        at = STRIDE * int(logits.argmax())
+        parts.append(letters[at : at + WORDS])
+        counts.append(len(parts[-1]))
+    return np.concatenate(parts), np.array(counts)
+
+
 def train(texts: list[bytes], labels: list[int], seed: int = 0, steps: int = STEPS) -> Params:
     rng, p = np.random.default_rng(seed), init(seed)
     m, v, t = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
-    y = np.array(labels, np.float32)
+    y, mean = np.array(labels, np.float32), {k: np.zeros_like(x) for k, x in p.items()}
     while t < steps:
-        order = rng.permutation(len(texts))
+        # Each round takes the rarer label as often as the other.
+        order = rng.permutation(np.concatenate([np.resize(rng.permutation(np.flatnonzero(y == v)), max((y == 0).sum(), (y == 1).sum())) for v in (0, 1) if (y == v).any()]))
         for a in range(0, len(order), BATCH):
             some = order[a : a + BATCH]
-            buf, first, last, h, borders = cut_words([texts[i] for i in some])
-            counts = np.minimum(np.diff(borders), TRAIN_WORDS)
-            taken = np.concatenate([np.arange(b, b + k) for b, k in zip(borders[:-1], counts, strict=True)])
-            kinds, where, numbers = np.unique(h[taken], return_index=True, return_inverse=True)
-            w = Words(buf, first[taken][where], last[taken][where], kinds)
+            words, counts = highest(p, [texts[i] for i in some])
+            h = _whole(words)
+            kinds, where, numbers = np.unique(h, return_index=True, return_inverse=True)
+            w = Words(words[where], kinds)
+            w.whole[rng.random(len(kinds)) < HIDDEN_WORDS] = UNKNOWN
+            w.start[rng.random(len(kinds)) < HIDDEN_WORDS] = UNKNOWN
             _, g = loss_and_gradients(p, w, numbers, counts, y[some])
+            g["words"][UNKNOWN] = g["starts"][UNKNOWN] = 0
             t += 1
             for k, x in p.items():
                 m[k] += 0.1 * (g[k] - m[k])
                 v[k] += 0.001 * (g[k] * g[k] - v[k])
-                x -= RATE * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
-    return p
+                x -= RATE * max(0.1, 1 - t / steps) * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
+            if 2 * t > steps:
+                for k, x in p.items():
+                    mean[k] += (x - mean[k]) / (t - steps // 2)
+            if t == steps:
+                return mean
+    return mean
 
 
 class Scorer:
@@ -243,18 +283,17 @@ class Scorer:
             self.rows[d] = np.concatenate([self.rows[d], np.zeros_like(self.rows[d])])
         self.rows[d][at : at + len(rows)] = rows
 
-    def scores(self, texts: list[bytes], step: int = 1024) -> np.ndarray:
-        if len(self.hashes) > KNOWN:
-            self._forget()
-        buf, first, last, h, borders = cut_words(texts)
+    def _numbers(self, texts: list[bytes], step: int = 8192) -> tuple[np.ndarray, np.ndarray]:
+        """The texts' words as rows of the table, and the texts' borders in them; new words enter the table."""
+        letters, h, borders = cut_words(texts)
         kinds, where, numbers = np.unique(h, return_index=True, return_inverse=True)
         at = np.minimum(np.searchsorted(self.hashes, kinds), max(len(self.hashes) - 1, 0))
         known = self.hashes[at] == kinds if len(self.hashes) else np.zeros(len(kinds), bool)
         number = np.where(known, self.numbers[at], -1) if len(self.hashes) else np.full(len(kinds), -1)
         new = np.flatnonzero(~known)
-        for a in range(0, len(new), 8 * step):
-            some = new[a : a + 8 * step]
-            vectors = word_vectors(self.p, Words(buf, first[where[some]], last[where[some]], kinds[some]))
+        for a in range(0, len(new), step):
+            some = new[a : a + step]
+            vectors = word_vectors(self.p, Words(letters[where[some]], kinds[some]))
             number[some] = self.size + np.arange(len(some))
             for d in "fb":
                 self._append(d, number[some[0]], vectors @ self.p[f"ww{d}"] + self.p[f"wb{d}"])
@@ -263,8 +302,19 @@ class Scorer:
             hashes, all_numbers = np.concatenate([self.hashes, kinds[new]]), np.concatenate([self.numbers, number[new]])
             order = np.argsort(hashes, kind="stable")
             self.hashes, self.numbers = hashes[order], all_numbers[order]
-        index, n = window_words(np.diff(borders))
-        words = number[numbers]
+        return number[numbers], borders
+
+    def windows(self, texts: list[bytes], step: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Logits of all windows, how many each text has, and the windows' rows of the table."""
+        if len(self.hashes) > KNOWN:
+            self._forget()
+        if len(texts) == 1 and len(texts[0]) > SLICE:
+            words = np.concatenate([self._numbers([x])[0] for x in slices(texts[0].translate(WORD_BYTES))])
+            counts = np.array([len(words)])
+        else:
+            words, borders = self._numbers(texts)
+            counts = np.diff(borders)
+        index, n = window_words(counts)
         index = np.where(index >= 0, words[np.maximum(index, 0)] if len(words) else 0, -1)
         # Windows without gaps go first: they need no masks.
         order = np.argsort(index[:, -1] < 0, kind="stable")
@@ -273,6 +323,10 @@ class Scorer:
         logits = np.empty(len(index), np.float32)
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             logits[order[a:b]] = window_logits(self.p, self.rows, index[order[a:b]])
+        return logits, n, index
+
+    def scores(self, texts: list[bytes]) -> np.ndarray:
+        logits, n, _ = self.windows(texts)
         return sigmoid(np.maximum.reduceat(logits, np.cumsum(n) - n).astype(np.float64))
 
 
@@ -286,10 +340,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Params | None:
     if len(counts) < 2:
         return None
     share = F.when(F.col("toxic") == 1, DOCS_PER_CLASS / counts[1]).otherwise(DOCS_PER_CLASS / counts[0])
-    drawn = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1_000_000)) < share * 1_000_000).select("doc_id", "toxic").limit(4 * DOCS_PER_CLASS)
+    part = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 40)) / float(1 << 40) / (2 * share)
+    # Twice the share is drawn by hash, so that almost surely enough are left to take the first of.
+    drawn = rows.select("doc_id", "toxic", part.alias("part")).where("part < 1").orderBy("part", "doc_id").limit(2 * DOCS_PER_CLASS)
     chosen = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
-    # No word is shorter than a byte with its separator, but most are longer: the cut keeps TRAIN_WORDS usual words.
-    sample = chosen.select(F.substring("text", 1, 12 * TRAIN_WORDS).alias("text"), "toxic").limit(4 * DOCS_PER_CLASS).collect()
+    sample = chosen.orderBy("part", "doc_id", F.xxhash64("text")).limit(2 * DOCS_PER_CLASS).select("text", "toxic").collect()
     sample.sort(key=lambda r: (r[1], r[0]))
     return train([r[0].encode() for r in sample], [r[1] for r in sample]) if sample else None
 
@@ -303,7 +358,7 @@ def _score(p: Params | None):
                 names = [c for c in part.column_names if c != "text"]
                 yield pa.RecordBatch.from_arrays([*(part.column(c).combine_chunks() for c in names), pa.array(score, pa.float64()), pa.array((score >= TOXIC).astype(np.int32), pa.int32())], [*names, "score", "predicted"])
 
-    return run
+    return frugal(run)
 
 
 def score(docs: DataFrame, p: Params | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

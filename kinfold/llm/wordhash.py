@@ -1,30 +1,36 @@
-"""Vectorised splitting and 64-bit hashing of words in a buffer of UTF-8 bytes.
+"""Words of UTF-8 texts as 64-bit hashes, texts in slices of bounded size, and memory that workers give back.
 
-A word's hash is ``sum(T[byte_j] * p**j)`` over its bytes modulo 2**64, taken from one running sum over
-the buffer and shifted to the word's start by the inverse power of ``p`` (odd, so it has one), then mixed.
-``T`` is a fixed random table of 64-bit values.
+Words are hashed one by one with XXH3 (64 bits), which mixes every byte: different words of a corpus share a hash by
+chance only (probability about 2**-64 a pair), whatever their structure. Long texts are split slice by slice, so what
+is held beside a text is 8 bytes a word and the words of one slice.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from xxhash import xxh3_64_intdigest
 
 U64 = np.uint64
-_P = 0x9E3779B97F4A7C15
-_P_INV = pow(_P, -1, 1 << 64)
-_TABLE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
-_MIX1, _MIX2, _LEN = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB), U64(0xD6E8FEB86659FD93)
-_powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
+_MIX1, _MIX2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
+#: Bytes of text that are split into words at a time.
+SLICE = 1 << 20
+
+
+def _table(is_word: Callable[[int], bool]) -> bytes:
+    """Translation that lower-cases A-Z and turns all bytes outside words into blanks."""
+    lowered = [b + 0x20 if 0x41 <= b <= 0x5A else b for b in range(256)]
+    return bytes(b if is_word(b) else 0x20 for b in lowered)
+
 
 #: Words between ASCII white space, and words of digits, letters and all bytes from 128.
-NOT_SPACE = np.ones(256, bool)
-NOT_SPACE[[0x20, *range(0x09, 0x0E)]] = False
-WORD_BYTES = np.zeros(256, bool)
-WORD_BYTES[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+NOT_SPACE = _table(lambda b: b != 0x20 and not 0x09 <= b <= 0x0D)
+WORD_BYTES = _table(lambda b: 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -33,41 +39,29 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for i, p in enumerate((_P, _P_INV)):
-            a = np.full(n, p, U64)
-            a[0] = 1
-            _powers[i] = np.cumprod(a, dtype=U64)
-    return _powers[0][:n], _powers[1][:n]
-
-
-def hash_words(buf: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and hashes of the maximal runs of word bytes in ``buf`` (uint8)."""
-    n = len(buf)
-    inside = np.zeros(n + 2, np.int8)
-    inside[1:-1] = is_word[buf]
-    edge = np.diff(inside)
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    if not len(starts):
-        return starts, ends, np.zeros(0, U64)
-    return starts, ends, hash_spans(buf, starts, ends)
+def slices(text: bytes, size: int = SLICE) -> Iterator[bytes]:
+    """A text whose separators are blanks in slices of about ``size`` bytes, cut between words."""
+    at = 0
+    while at < len(text):
+        end = text.find(b" ", at + size)
+        end = len(text) if end < 0 else end
+        yield text[at:end] if at or end < len(text) else text
+        at = end
 
 
-def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of the byte spans of ``buf``."""
-    forward, back = _power(len(buf) + 1)
-    total = np.zeros(len(buf) + 1, U64)
-    np.cumsum(_TABLE[buf] * forward[:-1], out=total[1:])
-    return mix((total[ends] - total[starts]) * back[starts] + (ends - starts).astype(U64) * _LEN)
+def text_words(text: bytes, words: bytes) -> np.ndarray:
+    """Hashes of a text's words, in their order. ``words``: one of the translations above."""
+    parts = []
+    for piece in slices(text.translate(words)):
+        some = piece.split()
+        parts.append(np.fromiter(map(xxh3_64_intdigest, some), U64, len(some)))
+    return parts[0] if len(parts) == 1 else np.concatenate([np.zeros(0, U64), *parts])
 
 
-def doc_words(texts: list[bytes], is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def doc_words(texts: list[bytes], words: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the texts (A-Z lower-cased), and the texts' borders in them (len + 1 values)."""
-    buf = np.frombuffer(b" ".join(texts).lower() + b" ", np.uint8)
-    starts, _, h = hash_words(buf, is_word)
-    ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
-    return h, np.concatenate([[0], np.searchsorted(starts, ends)])
+    each = [text_words(t, words) for t in texts]
+    return np.concatenate([np.zeros(0, U64), *each]), np.concatenate([[0], np.cumsum([len(h) for h in each])]).astype(np.int64)
 
 
 def text_chunks(batch: pa.RecordBatch | pa.Table, column: str = "text", limit: int = 1 << 20) -> Iterator[tuple[pa.Table, list[bytes]]]:
@@ -85,3 +79,29 @@ def text_chunks(batch: pa.RecordBatch | pa.Table, column: str = "text", limit: i
         part = table.slice(at, n)
         yield part, [x or b"" for x in part.column(column).cast(pa.binary()).to_pylist()]
         at += n
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a reused worker keeps what its allocators hold otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A ``mapInArrow`` function that gives memory back after each batch and when its partition ends."""
+
+    @wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch
+                give_back()
+
+        try:
+            yield from run(told())
+        finally:
+            give_back()
+
+    return wrapped
