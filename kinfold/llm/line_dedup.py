@@ -1,24 +1,22 @@
 """Line dedup with a log-template tree, in DataFrame operations only.
 
 Tree: a line's path is its token count, then its first ``LEAD`` tokens, then its template. Tokens with a digit are
-variable fields (``<*>``) everywhere. Longer lines also stand under three wider templates, each with one third of
-the tokens behind the lead generalised, so lines that differ in one such field share a node.
-
-A template recurs if it is found in at least ``min_docs`` documents that differ otherwise. What a document has
-besides the line is told by its *anchor*, the least other template in it: copies of one document share anchors, so
-they count once. Recurring are templates with ``min_docs`` anchors or more that make up at least half of the
-distinct texts with the template. Their lines are dropped from every document.
-
-The text is parsed once, into the hashes of its lines' nodes. Counting these leaves the few nodes that can recur,
-and only their lines go on. Counts are partial aggregates; no template's lines meet in one task. What a document
-loses depends on its text alone, so decisions are joined by the text's digest, with a salt for large groups of
-copies.
-
-That is the rule of ``recurring_lines``, which the SQL repeats. ``independent_lines``, the rule of the pipeline, tells
-documents by more than one line. A line is common if one of its nodes, or the least hash of its shingles, is in
-enough other texts; what a text holds beside its common lines is its own. A text with a template is told by a min-hash
-sketch of its own lines, if they are more than half of what it has besides the template, and else by one of all its
-lines. Texts of a node that share a value of their sketches count once, as the first of them.
+variable fields (``<*>``) everywhere. A line stands under one template for each third of the tokens behind the lead that
+is not empty, with that third generalised, so lines that differ in one such field share a node; a line of no more tokens
+than the lead, or of ``LONG_WORDS`` or more, also stands under its own words. Nodes are known by 64-bit hashes.
+
+Which templates recur is decided in two passes. First, a line is *shared* if a node of it, its first ``EDGE`` tokens or its
+last ``EDGE`` tokens are also in another text, and what is left of a text is its own. Then the witnesses of a template are
+counted: distinct texts that have it and, of their lines besides it, one in ``OWN`` or more of their own. Copies, exact or
+near, have little of their own and bear no witness, but neither do they speak against a template; texts that have
+several recurring lines bear witness to each. A template recurs from ``min_docs`` witnesses on; word for word and of
+``LONG_WORDS`` or more from ``LONG_DOCS`` on, of whose other lines half or more are their own. Its lines are dropped from
+every text.
+
+The text is parsed once, into the hashes of its lines' nodes. Counting these leaves the nodes that texts share, and only
+their lines go on. Counts are partial aggregates; no template's lines meet in one task. What a document loses depends on
+its text alone, so decisions are joined by two hashes of the text (96 bits), as a join of two plain exchanges: a group
+of copies that holds a third of all rows is split by Spark's adaptive skew join.
 
 Defined results: a null text stays null and an empty one empty (0 lines counted and dropped); blank lines have no
 template and stay. A document that loses every line stays as a row with an empty text. Rows with null or repeated
@@ -28,121 +26,91 @@ that begin with ``__ld_`` are reserved). An empty table gives an empty table.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.plans.storage import materialize
 
-LEAD, PARTS, MIN_TOKENS = 2, 3, 8
+LEAD, PARTS = 2, 3
+EDGE = 8
 MIN_DOCS = 10
-SALTS = 16
-#: Hashes of a sketch, words of a shingle, and how many of a line's hashes tell whether it is common.
-SKETCH, SHINGLE, LINE_KEYS = 6, 5, 2
-SEEDS = [0x1B873593CC9E2D51, 0x52DCE729_38495AB5, 0x7ED55D16_C761C23C, 0x2545F491_4F6CDD1D, 0x3C6EF372_FE94F82B, 0x6A09E667_F3BCC908]
-#: A template of so many words recurs, word for word, from so few documents on.
+#: One line in so many has to be a text's own: for a witness, and for one to a long template.
+OWN, LONG_OWN = 5, 2
+#: A template of so many words recurs, word for word, from so few texts on.
 LONG_WORDS, LONG_DOCS = 50, 2
+_TEXT = ["t1", "t2"]
 
 
 def template(line: Column) -> Column:
-    """The line with variable fields generalised; null for a blank line."""
-    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, "[^ ]*[0-9][^ ]*", "<*>")).otherwise(line)
-    return F.when(F.trim(line) != "", masked)
+    """The line with tokens that hold a digit as ``<*>``. The look-behind and possessive repeats keep it linear."""
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", "<*>")).otherwise(line)
 
 
-def nodes(masked: Column) -> Column:
-    """Hashes of the tree nodes of a template: its own, and the wider ones of a longer line."""
-    tokens = F.split(masked, " ")
-    n = F.size(tokens)
+def _text_id(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias("t1"), F.hash(text).alias("t2")]
 
-    def wider(part: int) -> Column:
-        begin = F.lit(LEAD) + F.floor((n - LEAD) * part / PARTS).cast("int")
-        end = F.lit(LEAD) + F.floor((n - LEAD) * (part + 1) / PARTS).cast("int")
-        return F.xxhash64(F.lit(part), n, F.slice(tokens, F.lit(1), begin), F.slice(tokens, end + 1, n - end))
 
-    own = F.xxhash64(F.lit(-1), masked)
-    return F.when(n >= MIN_TOKENS, F.array(own, *(wider(p) for p in range(PARTS)))).otherwise(F.array(own))
-
-
-def _digest(text: Column) -> Column:
-    return F.unhex(F.md5(text))
+def _border(part: int) -> str:
+    """Number of the tokens before a third."""
+    return f"{LEAD} + (greatest(n - {LEAD}, 0) * {part}) div {PARTS}"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """``th, line, nodes, anchor``: one row a line that is not blank.
-
-    The explode of one array keeps the optimizer from repeating the templates in every expression that uses them.
-    """
-    split = docs.where("text is not null").select(_digest(F.col("text")).alias("th"), F.explode(F.array(F.transform(F.split("text", "\n"), template))).alias("masked"))
-    least = split.withColumn("low", F.array_min("masked"))
-    both = least.select("th", "masked", F.explode(F.array(F.struct("low", F.array_min(F.array_remove("masked", F.col("low"))).alias("next")))).alias("l"))
-    line = both.select("th", F.col("l.low").alias("low"), F.col("l.next").alias("next"), F.posexplode("masked").alias("line", "masked")).where("masked is not null")
-    return line.select("th", "line", nodes(F.col("masked")).alias("nodes"), F.xxhash64(F.when(F.col("masked") == F.col("low"), F.col("next")).otherwise(F.col("low"))).alias("anchor"))
+    """``t1, t2, line, total, n, nodes``: one row a line that is not blank, with its nodes (``PARTS`` wider ones, its own
+    words) and then its edges; the parts of a line are hashed once and their hashes combined."""
+    once = F.struct(*_text_id(F.col("text")), F.split("text", "\n").alias("lines"))
+    # Without this generator the hashes of the text would be computed again for each of its lines.
+    texts = docs.where("text <> ''").select(F.explode(F.array(once)).alias("x")).select("x.*")
+    full = texts.select(F.explode(F.array(F.struct(*_TEXT, "lines", F.size(F.filter("lines", lambda x: F.trim(x) != "")).alias("total")))).alias("x")).select("x.*")
+    split = full.select(*_TEXT, "total", F.posexplode("lines").alias("line", "raw"))
+    masked = split.where("trim(raw) <> ''").select(*_TEXT, "line", "total", template(F.col("raw")).alias("masked"))
+    words = masked.select(*_TEXT, "line", "total", F.split("masked", " ").alias("w"))
+    sized = words.select(*_TEXT, "line", "total", "w", F.size("w").alias("n"))
+    parts = [F.expr(f"xxhash64(slice(w, cast({_border(i)} as int) + 1, cast({_border(i + 1)} - ({_border(i)}) as int))) as p{i}") for i in range(PARTS)]
+    hashed = sized.select(*_TEXT, "line", "total", "n", F.expr(f"xxhash64(slice(w, 1, {LEAD})) as lead"), F.expr(f"xxhash64(-2, slice(w, 1, {EDGE})) as head"), F.expr(f"xxhash64(-3, slice(w, greatest(n - {EDGE - 1}, 1), {EDGE})) as tail"), *parts)
+    wider = [F.when(F.expr(f"{_border(i + 1)} > {_border(i)}"), F.xxhash64(F.lit(i), "n", "lead", *(f"p{j}" for j in range(PARTS) if j != i))) for i in range(PARTS)]
+    own = F.when((F.col("n") <= LEAD) | (F.col("n") >= LONG_WORDS), F.xxhash64(F.lit(-1), "n", "lead", *(f"p{j}" for j in range(PARTS))))
+    return hashed.select(*_TEXT, "line", "total", "n", F.array(*wider, own, "head", F.when(F.col("n") > EDGE, F.col("tail"))).alias("nodes"))
+
+
+def _decided(docs: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]:
+    """Lines with a shared node (``t1, t2, line, total, n, at, node``), and the nodes that recur (with ``texts, witnesses``)."""
+    long = (F.col("at") == PARTS) & (F.col("n") >= LONG_WORDS)
+    every = materialize(_lines(docs), "lines").select(*_TEXT, "line", "total", "n", F.posexplode("nodes").alias("at", "node")).where("node is not null")
+    shared = materialize(every.groupBy("node").agg(F.min("t1").alias("lo"), F.max("t1").alias("hi")).where("lo <> hi").select("node"), "nodes")
+    found = materialize(every.join(shared, "node"), "shared")
+    own = found.groupBy(*_TEXT).agg((F.max("total") - F.count_distinct("line")).alias("own"))
+    texts = found.where(F.col("at") <= PARTS).groupBy("node", *_TEXT).agg(F.count_distinct("line").alias("lines"), F.max("total").alias("total"), F.max(long).alias("long"))
+    rest = F.col("total") - F.col("lines")
+    judged = texts.join(own, _TEXT).select("node", "long", ((F.col("own") > 0) & (OWN * F.col("own") >= rest)).alias("some"), ((F.col("own") > 0) & (LONG_OWN * F.col("own") >= rest)).alias("most"))
+    counted = judged.groupBy("node").agg(F.max("long").alias("long"), F.count("*").alias("texts"), F.count_if("some").alias("witnesses"), F.count_if("most").alias("strict"))
+    recurring = counted.where((F.col("witnesses") >= min_docs) | (F.col("long") & (F.col("strict") >= LONG_DOCS))).select("node", "texts", "witnesses")
+    return found, materialize(recurring, "recurring")
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``th, lines``: of each distinct text (by digest) the numbers of the lines to drop, from 0."""
-    lines = materialize(_lines(docs), "lines").select("th", "line", "anchor", F.explode("nodes").alias("node"))
-    frequent = materialize(lines.groupBy("node").count().where(F.col("count") >= min_docs).select("node"), "nodes")
-    found = materialize(lines.join(frequent, "node"), "recurring")
-    texts = found.groupBy("node", "anchor", "th").agg(F.lit(1).alias("one"))
-    anchors = texts.groupBy("node", "anchor").agg(F.count("*").alias("texts"))
-    chosen = anchors.groupBy("node").agg(F.count("*").alias("anchors"), F.sum("texts").alias("texts")).where((F.col("anchors") >= min_docs) & (2 * F.col("anchors") >= F.col("texts"))).select("node")
-    return materialize(found.join(chosen, "node", "left_semi").groupBy("th").agg(F.collect_set("line").alias("lines")), "dropped")
-
-
-def _xor(seed: int) -> Callable[[Column], Column]:
-    return lambda x: x.bitwiseXOR(F.lit(seed))
-
-
-def _sketched(docs: DataFrame) -> DataFrame:
-    """``th, line, length, words, nodes, k0..``: of each line that is not blank its nodes, then its ``LINE_KEYS``, and its sketch."""
-    split = docs.where("text is not null").select(_digest(F.col("text")).alias("th"), F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    masked = split.select("th", "line", template(F.col("raw")).alias("masked")).where("masked is not null")
-    words = masked.select("*", F.explode(F.array(F.split("masked", " "))).alias("w"))
-    hashed = words.select("th", "line", "masked", F.size("w").alias("words"), F.explode(F.array(F.transform("w", lambda _, i: F.xxhash64(F.slice("w", i + 1, SHINGLE))))).alias("s"))
-    keys = [F.array_min(F.transform("s", _xor(seed))).alias(f"k{i}") for i, seed in enumerate(SEEDS[:SKETCH])]
-    sketched = hashed.select("th", "line", "masked", F.length("masked").alias("length"), "words", *keys)
-    own = F.array(*(F.xxhash64(F.lit(-2 - i), F.col("words") >= LONG_WORDS, F.col(f"k{i}")) for i in range(LINE_KEYS)))
-    return sketched.select("th", "line", "length", "words", F.concat(nodes(F.col("masked")), own).alias("nodes"), *(f"k{i}" for i in range(SKETCH)))
-
-
-def independent_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """As ``recurring_lines``, by the number of texts with a template that have different lines of their own."""
-    lines = materialize(_sketched(docs), "sketched")
-    is_key = F.col("at") >= F.col("size") - LINE_KEYS
-    every = lines.select("th", "line", "length", "words", F.size("nodes").alias("size"), F.posexplode("nodes").alias("at", "node"))
-    need = F.when((F.col("words") >= LONG_WORDS) & ((F.col("at") == 0) | is_key), LONG_DOCS).otherwise(min_docs)
-    every = every.select("th", "line", "length", "node", need.alias("need"), (~is_key).alias("template"))
-    frequent = materialize(every.groupBy("node").agg(F.count("*").alias("n"), F.min("need").alias("need")).where("n >= need").select("node"), "nodes")
-    found = materialize(every.join(frequent, "node"), "recurring")
-    texts = materialize(found.groupBy("node", "th").agg(F.max("length").alias("line_length"), F.min("need").alias("need"), F.max("template").alias("template")), "texts")
-    enough = materialize(texts.groupBy("node").agg(F.count("*").alias("n"), F.min("need").alias("need")).where("n >= need").select("node"), "enough")
-    common = found.join(enough, "node", "left_semi").select("th", "line").distinct().withColumn("common", F.lit(True))
-    sketch = [f"k{i}" for i in range(SKETCH)]
-    once = lines.groupBy("th", "line").agg(F.max("length").alias("length"), *(F.min(k).alias(k) for k in sketch))
-    mine = F.col("common").isNull()
-    told = once.join(common, ["th", "line"], "left").groupBy("th").agg(
-        F.sum("length").alias("all_length"), F.sum(F.when(mine, F.col("length")).otherwise(0)).alias("own_length"),
-        *(F.min(k).alias(k) for k in sketch), *(F.min(F.when(mine, F.col(k))).alias(f"own_{k}") for k in sketch))
-    told = materialize(told, "told")
-    own = 2 * F.col("own_length") > F.col("all_length") - F.col("line_length")
-    counted = texts.where("template").join(enough, "node", "left_semi").join(told, "th").withColumn("own", own)
-    keys = F.array(*(F.xxhash64(F.lit(i), F.when(F.col("own"), F.col(f"own_{k}")).otherwise(F.col(k))) for i, k in enumerate(sketch)))
-    firsts = counted.select("node", "need", "own", "th", F.explode(keys).alias("key")).groupBy("node", "need", "own", "key").agg(F.min("th").alias("th"))
-    independent = firsts.groupBy("node", "need", "own", "th").count().where(F.col("count") == SKETCH).groupBy("node", "need").agg(F.count("*").alias("all"), F.count_if("own").alias("own"))
-    # Texts with little of their own are no evidence for the lower number.
-    chosen = independent.where((F.col("own") >= F.col("need")) | (F.col("all") >= min_docs)).select("node").distinct()
-    return materialize(found.where("template").join(chosen, "node", "left_semi").groupBy("th").agg(F.collect_set("line").alias("lines")), "dropped")
-
-
-def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, counts: bool = False, rule: Callable[[DataFrame, int], DataFrame] = recurring_lines) -> DataFrame:
-    """``docs`` with recurring lines (by ``rule``) taken out of ``text``; with ``counts``, also ``n_lines`` and ``n_dropped``."""
-    dropped = rule(docs, min_docs)
-    spread = dropped.select(F.col("th").alias("__ld_th"), F.col("lines").alias("__ld_lines"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__ld_salt"))
-    salted = docs.withColumn("__ld_th", _digest(F.col("text"))).withColumn("__ld_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    joined = salted.join(spread, ["__ld_th", "__ld_salt"], "left")
+    """``t1, t2, lines``: of each distinct text (by its two hashes) the numbers of the lines to drop, from 0."""
+    found, recurring = _decided(docs, min_docs)
+    return materialize(found.join(recurring.select("node"), "node", "left_semi").groupBy(*_TEXT).agg(F.collect_set("line").alias("lines")), "dropped")
+
+
+def recurring_templates(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """The part of the tree that recurs: ``n_tokens, lead, template, texts, witnesses``, one row a node."""
+    found, recurring = _decided(docs, min_docs)
+    first = found.join(recurring, "node").groupBy("node", "texts", "witnesses").agg(F.min(F.struct(*_TEXT, "line", "at")).alias("f")).select("texts", "witnesses", "f.*")
+    lines = docs.where("text <> ''").select("text", *_text_id(F.col("text"))).join(first, _TEXT).dropDuplicates([*_TEXT, "line", "at"])
+    words = lines.select("texts", "witnesses", "at", F.split(template(F.expr("split(text, '\n')[line]")), " ").alias("w")).withColumn("n", F.size("w"))
+    for i in range(PARTS):
+        cut = F.expr(f"concat(slice(w, 1, cast({_border(i)} as int)), array('<*>'), slice(w, cast({_border(i + 1)} as int) + 1, n))")
+        words = words.withColumn(f"t{i}", cut)
+    shown = F.coalesce(*(F.when(F.col("at") == i, F.col(f"t{i}")) for i in range(PARTS)), F.col("w"))
+    return words.select(F.col("n").alias("n_tokens"), F.array_join(F.slice("w", 1, LEAD), " ").alias("lead"), F.array_join(shown, " ").alias("template"), "texts", "witnesses")
+
+
+def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, counts: bool = False) -> DataFrame:
+    """``docs`` with recurring lines taken out of ``text``; with ``counts``, also ``n_lines`` and ``n_dropped``."""
+    dropped = recurring_lines(docs, min_docs).select(*(F.col(c).alias(f"__ld_{c}") for c in [*_TEXT, "lines"]))
+    joined = docs.withColumns({f"__ld_{c}": x for c, x in zip(_TEXT, _text_id(F.col("text")), strict=True)}).join(dropped, [f"__ld_{c}" for c in _TEXT], "left")
     lines = F.split("text", "\n")
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__ld_lines", i)), "\n")
     text = F.when(F.col("__ld_lines").isNull(), F.col("text")).otherwise(kept)
@@ -157,22 +125,27 @@ def report(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 
 
 def cleaned_sql(source: str = "documents", min_docs: int = MIN_DOCS) -> str:
-    """DuckDB SQL for the rows of ``source`` with ``r`` (row number), ``clean`` text, ``n_lines`` and ``n_dropped``."""
+    """DuckDB SQL for the rows of ``source`` with ``clean`` text, ``n_lines`` and ``n_dropped``."""
     wider = " UNION ALL ".join(
-        f"""SELECT th, line, anchor, concat({p}, ' ', n, ' ', array_to_string(k[1:b], ' '), chr(10), array_to_string(k[e+1:n], ' ')) AS node FROM
-        (SELECT *, {LEAD} + ((n - {LEAD}) * {p}) // {PARTS} AS b, {LEAD} + ((n - {LEAD}) * {p + 1}) // {PARTS} AS e FROM t) WHERE n >= {MIN_TOKENS}"""
+        f"""SELECT th, line, n, false AS own, concat({p}, ' ', n, ' ', array_to_string(k[1:b], ' '), chr(10), array_to_string(k[e+1:n], ' ')) AS node FROM
+        (SELECT *, {LEAD} + ((n - {LEAD}) * {p}) // {PARTS} AS b, {LEAD} + ((n - {LEAD}) * {p + 1}) // {PARTS} AS e FROM t WHERE n > {LEAD}) WHERE b < e"""
         for p in range(PARTS)
     )
     return f"""WITH s AS (SELECT row_number() OVER () AS r, * FROM {source}),
     x AS (SELECT DISTINCT md5(text) AS th, text FROM s WHERE text IS NOT NULL),
-    m0 AS (SELECT th, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM x),
-    m AS (SELECT th, line, regexp_replace(raw, '[^ ]*[0-9][^ ]*', '<*>', 'g') AS masked FROM m0 WHERE trim(raw, ' ') <> ''),
-    dm AS (SELECT DISTINCT th, masked FROM m),
-    lows AS (SELECT th, min(masked) FILTER (k = 1) AS low, min(masked) FILTER (k = 2) AS next FROM (SELECT th, masked, row_number() OVER (PARTITION BY th ORDER BY masked) AS k FROM dm) GROUP BY th),
-    t AS (SELECT th, line, masked, CASE WHEN masked = low THEN next ELSE low END AS anchor, string_split(masked, ' ') AS k, len(string_split(masked, ' ')) AS n FROM m JOIN lows USING (th)),
-    node AS (SELECT th, line, anchor, concat('own ', masked) AS node FROM t UNION ALL {wider}),
-    c AS (SELECT node FROM node GROUP BY node HAVING count(DISTINCT coalesce(anchor, chr(10))) >= {min_docs} AND 2 * count(DISTINCT coalesce(anchor, chr(10))) >= count(DISTINCT th)),
-    d AS (SELECT th, list(DISTINCT line) AS gone FROM node WHERE node IN (SELECT node FROM c) GROUP BY th)
+    m AS (SELECT th, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM x),
+    t AS (SELECT th, line, string_split(masked, ' ') AS k, len(string_split(masked, ' ')) AS n, masked
+      FROM (SELECT th, line, regexp_replace(raw, '[^ ]*[0-9][^ ]*', '<*>', 'g') AS masked FROM m WHERE trim(raw, ' ') <> '')),
+    node AS (SELECT th, line, n, true AS own, concat('own ', masked) AS node FROM t WHERE n <= {LEAD} OR n >= {LONG_WORDS} UNION ALL {wider}
+      UNION ALL SELECT th, line, n, NULL, concat('head ', array_to_string(k[1:{EDGE}], ' ')) FROM t UNION ALL SELECT th, line, n, NULL, concat('tail ', array_to_string(k[n - {EDGE - 1}:n], ' ')) FROM t WHERE n > {EDGE}),
+    total AS (SELECT th, count(*) AS total FROM t GROUP BY th),
+    found AS (SELECT * FROM node WHERE node IN (SELECT node FROM node GROUP BY node HAVING count(DISTINCT th) > 1)),
+    mine AS (SELECT th, any_value(total) - count(DISTINCT line) AS mine FROM found JOIN total USING (th) GROUP BY th),
+    judged AS (SELECT node, own AND n >= {LONG_WORDS} AS long, mine, total - lines AS rest
+      FROM (SELECT node, th, any_value(own) AS own, any_value(n) AS n, count(DISTINCT line) AS lines FROM found WHERE own IS NOT NULL GROUP BY node, th) JOIN mine USING (th) JOIN total USING (th)),
+    c AS (SELECT node FROM judged GROUP BY node, long
+      HAVING count(*) FILTER (mine > 0 AND {OWN} * mine >= rest) >= {min_docs} OR (long AND count(*) FILTER (mine > 0 AND {LONG_OWN} * mine >= rest) >= {LONG_DOCS})),
+    d AS (SELECT th, list(DISTINCT line) AS gone FROM found WHERE node IN (SELECT node FROM c) GROUP BY th)
     SELECT s.*, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE len(string_split(text, chr(10))) END AS n_lines, coalesce(len(gone), 0) AS n_dropped,
       CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_filter(string_split(text, chr(10)), lambda v, i: NOT list_contains(gone, i - 1)), chr(10)) END AS clean
     FROM s LEFT JOIN d ON md5(text) = th"""

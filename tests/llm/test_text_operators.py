@@ -203,8 +203,31 @@ def prose(rng, n):
 
 
 def left(spark, rows):
-    """Texts by id after the pipeline's rule."""
-    return {r.doc_id: r.text for r in line_dedup.drop_recurring_lines(frame(spark, rows), rule=line_dedup.independent_lines).collect()}
+    """Texts by id without recurring lines; the SQL agrees."""
+    docs = frame(spark, rows)
+    assert same_as_sql(spark, line_dedup.report(docs), line_dedup.oracle_sql(), docs)
+    return {r.doc_id: r.text for r in line_dedup.drop_recurring_lines(docs).collect()}
+
+
+@pytest.mark.parametrize("feet", [1, 2, 3])
+def test_line_dedup_of_footers(spark, feet):
+    """Footers go also where a document has several and little else."""
+    feet = ["All rights reserved worldwide", "Brought to you by Acme", "Contact us"][:feet]
+    rng = np.random.default_rng(8)
+    rows = [(i, "\n".join([prose(rng, 4), *feet])) for i in range(20)]
+    got = left(spark, rows)
+    assert all(got[i] == rows[i][1].split("\n")[0] for i in range(20))
+
+
+def test_line_templates_of_short_lines(spark):
+    """Lines that differ in one field share a template whatever their length; its node names the field."""
+    rng = np.random.default_rng(9)
+    rows = [(i, f"Posted by {prose(rng, 1)}\n{prose(rng, 12)}") for i in range(12)] + [(50, "Posted by"), (51, "   "), (52, "x")]
+    got = left(spark, rows)
+    assert all("\n" not in got[i] for i in range(12)) and got[50] == "Posted by" and got[51] == "   "
+    tree = line_dedup.recurring_templates(frame(spark, rows)).collect()
+    assert [tuple(r) for r in tree] == [(3, "Posted by", "Posted by <*>", 12, 12)]
+    assert line_dedup.recurring_templates(frame(spark, rows).limit(0)).count() == 0
 
 
 def test_line_dedup_of_passages_beside_common_lines(spark):
