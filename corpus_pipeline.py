@@ -26,7 +26,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of recurring templates go; ``n_chars`` follows the text. Documents stay."""
-    cleaned = line_dedup.drop_recurring_lines(docs, rule=line_dedup.independent_lines)
+    cleaned = line_dedup.drop_recurring_lines(docs)
     return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cleaned
 
 
@@ -42,7 +42,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left, as token ids."""
-    return bpe.encode(docs, TOKENIZER, ids=True, keep=("doc_id", "lang", "source"))
+    return bpe.encode(docs, TOKENIZER, ids=True, keep=tuple(c for c in ("doc_id", "lang", "source") if c in docs.columns))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
