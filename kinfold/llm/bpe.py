@@ -35,7 +35,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Pretokens, and bytes of them, whose ids a partition keeps; beyond that it starts anew.
 KNOWN, KNOWN_BYTES = 1 << 17, 8 << 20
 #: Characters that are encoded at a time, and ids that are decoded at a time.
-PIECE = 1 << 20
+PIECE = 1 << 18
 _CUT = regex.compile(r"(?<=\S) (?=\S)")
 
 
@@ -287,7 +287,7 @@ def _encode(path: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, known = load(path), Known()
         for batch in batches:
-            for part, raw in text_chunks(batch):
+            for part, raw in text_chunks(batch, limit=PIECE):
                 ids = bpe.encode_batch([t.decode() for t in raw], known)
                 names = [c for c in part.column_names if c != "text"]
                 cols = [
@@ -333,7 +333,7 @@ def _count(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, known = load(path), Known()
         for batch in batches:
-            for part, raw in text_chunks(batch):
+            for part, raw in text_chunks(batch, limit=PIECE):
                 n = [len(x) for x in bpe.encode_batch([t.decode() for t in raw], known)]
                 names = [c for c in part.column_names if c != "text"]
                 yield pa.RecordBatch.from_arrays([*(part.column(c).combine_chunks() for c in names), pa.array(n, pa.int64())], [*names, "n_tokens"])

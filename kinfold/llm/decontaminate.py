@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.llm.wordhash import U64, WORD_BYTES, doc_words, frugal, text_chunks
-from kinfold.plans.storage import materialize, small_arrow_batches
+from kinfold.plans.storage import materialize, release, small_arrow_batches
 
 WINDOW, CONTAMINATED = 8, 2
 BLOCK_BYTES = 1 << 20
@@ -260,14 +260,35 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _verdicts(index: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+    return matches(index, benchmark, window).mapInArrow(frugal(_digest), "doc_id long, text_md5 string, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``doc_id, text_md5, n_words, n_hit, n_items, items_sha256, contaminated`` for every document."""
-    return phrase_matches(docs, benchmark, window).mapInArrow(frugal(_digest), "doc_id long, text_md5 string, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return _verdicts(build_index(docs), benchmark, window)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` that are not contaminated. A verdict depends on the text alone and is joined by its
     digest, so rows with null or repeated ids get their own; all columns stay, whatever their names."""
-    bad = materialize(contamination(docs, benchmark, window).where("contaminated").select("text_md5").distinct(), "contaminated")
+    index = build_index(docs)
+    bad = materialize(_verdicts(index, benchmark, window).where("contaminated").select("text_md5").distinct(), "contaminated")
+    release(index)
     digest = next(c for i in range(len(docs.columns) + 1) if (c := f"text_md5_{i}") not in docs.columns)
     return docs.join(bad.select(F.col("text_md5").alias(digest)), F.md5(F.coalesce("text", F.lit(""))) == F.col(digest), "left_anti")
+
+
+def oracle_sql(window: int = WINDOW) -> str:
+    """``contamination``'s rows in DuckDB SQL."""
+    words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, md5(coalesce(text, '')) AS text_md5, {words} AS w FROM documents),
+    b AS (SELECT CAST(item_id AS VARCHAR) AS item, {words} AS w FROM benchmark WHERE item_id IS NOT NULL),
+    s AS (SELECT item, w, least({window}, len(w)) AS n FROM b WHERE len(w) > 0),
+    win AS (SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS key FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM s)),
+    dw AS (SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS key FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)),
+    hit AS (SELECT r, i, n, item FROM dw JOIN win USING (n, key)),
+    c AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hit) GROUP BY r),
+    g AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hit GROUP BY r)
+    SELECT doc_id, text_md5, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_items, 0) >= {CONTAMINATED} AS contaminated
+    FROM d LEFT JOIN c USING (r) LEFT JOIN g USING (r)"""

@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.plans.storage import materialize
+from kinfold.plans.storage import materialize, release
 
 LEAD, PARTS = 2, 3
 EDGE = 8
@@ -76,9 +76,11 @@ def _lines(docs: DataFrame) -> DataFrame:
 def _decided(docs: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]:
     """Lines with a shared node (``t1, t2, line, total, n, at, node``), and the nodes that recur (with ``texts, witnesses``)."""
     long = (F.col("at") == PARTS) & (F.col("n") >= LONG_WORDS)
-    every = materialize(_lines(docs), "lines").select(*_TEXT, "line", "total", "n", F.posexplode("nodes").alias("at", "node")).where("node is not null")
+    lines = materialize(_lines(docs), "lines")
+    every = lines.select(*_TEXT, "line", "total", "n", F.posexplode("nodes").alias("at", "node")).where("node is not null")
     shared = materialize(every.groupBy("node").agg(F.min("t1").alias("lo"), F.max("t1").alias("hi")).where("lo <> hi").select("node"), "nodes")
     found = materialize(every.join(shared, "node"), "shared")
+    release(lines, shared)
     own = found.groupBy(*_TEXT).agg((F.max("total") - F.count_distinct("line")).alias("own"))
     texts = found.where(F.col("at") <= PARTS).groupBy("node", *_TEXT).agg(F.count_distinct("line").alias("lines"), F.max("total").alias("total"), F.max(long).alias("long"))
     rest = F.col("total") - F.col("lines")
@@ -91,7 +93,9 @@ def _decided(docs: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]:
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """``t1, t2, lines``: of each distinct text (by its two hashes) the numbers of the lines to drop, from 0."""
     found, recurring = _decided(docs, min_docs)
-    return materialize(found.join(recurring.select("node"), "node", "left_semi").groupBy(*_TEXT).agg(F.collect_set("line").alias("lines")), "dropped")
+    dropped = materialize(found.join(recurring.select("node"), "node", "left_semi").groupBy(*_TEXT).agg(F.collect_set("line").alias("lines")), "dropped")
+    release(found, recurring)
+    return dropped
 
 
 def recurring_templates(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:

@@ -7,8 +7,9 @@ and byte range, so payloads are cut out of the file by range. Both read and writ
 equal files (no dates, no random ids).
 
 Defined results: a null text is an empty one: its payload is one frame of filler. Texts of any length are stored
-whole. Rows with null or repeated ids stand as they are; further columns are ignored. Bytes that end within an
-element raise ``ValueError``.
+whole. Rows with null or repeated ids stand as they are; further columns are ignored, whatever their names. An empty
+table gives an empty table. Bytes that are no whole file raise ``ValueError`` in ``parse_mkv``; in tables such a file has
+one row with its ``error`` and nulls, and a null file none.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from kinfold.llm.wordhash import text_chunks
+from kinfold.llm.wordhash import frugal, text_chunks
 from kinfold.plans.storage import small_arrow_batches
 
 FRAME = 576
@@ -148,6 +149,13 @@ def _block(data: bytes, at: int, end: int, base: int, key: bool | None, out: Med
 
 
 def parse_mkv(data: bytes) -> Media:
+    try:
+        return _parsed(data)
+    except (IndexError, struct.error) as e:
+        raise ValueError("the data end within a block") from e
+
+
+def _parsed(data: bytes) -> Media:
     out = Media()
     # Open masters: id, end (None: unknown), and the values gathered in them.
     stack: list[tuple[int, int | None, dict[int, object]]] = []
@@ -208,7 +216,7 @@ def parse_mkv(data: bytes) -> Media:
     return out
 
 
-PACKETS = "doc_id long, packet int, track int, timestamp_ns long, keyframe boolean, byte_start long, byte_end long"
+PACKETS = "doc_id long, packet int, track int, timestamp_ns long, keyframe boolean, byte_start long, byte_end long, error string"
 
 
 def _packet_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,15 +224,19 @@ def _packet_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_id, data in zip(batch.column("doc_id").to_pylist(), batch.column("media"), strict=True):
             if not data.is_valid:
                 continue
-            media = parse_mkv(data.as_py())
-            track, time, key, a, b = zip(*media.packets, strict=True) if media.packets else ((),) * 5
-            cols = [pa.array([doc_id] * len(track), pa.int64()), pa.array(range(len(track)), pa.int32()), pa.array(track, pa.int32()), pa.array([t * media.scale for t in time], pa.int64()), pa.array(key, pa.bool_()), pa.array(a, pa.int64()), pa.array(b, pa.int64())]
+            try:
+                media = parse_mkv(data.as_py())
+                rows = [(doc_id, i, track, time * media.scale, key, a, b, None) for i, (track, time, key, a, b) in enumerate(media.packets)]
+            except ValueError as e:
+                rows = [(doc_id, None, None, None, None, None, None, str(e))]
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.string()]
+            cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 8, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(cols, [f.split()[0] for f in PACKETS.split(", ")])
 
 
 def packets(media: DataFrame) -> DataFrame:
     """The packet table of ``doc_id, media`` (binary files; null: no packets)."""
-    return media.select("doc_id", "media").mapInArrow(_packet_rows, PACKETS)
+    return media.select("doc_id", "media").mapInArrow(frugal(_packet_rows), PACKETS)
 
 
 def pad(raw: bytes, frame: int = FRAME) -> bytes:
@@ -240,7 +252,7 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def store(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, media``: each row's text as the samples of a Matroska file."""
     small_arrow_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(_store, "doc_id long, n_bytes long, media binary")
+    return docs.select("doc_id", "text").mapInArrow(frugal(_store), "doc_id long, n_bytes long, media binary")
 
 
 def feature(media: Media, payload: bytes) -> str:
@@ -256,14 +268,17 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for data in batch.column("media"):
             raw = data.as_py()
-            media = parse_mkv(raw)
-            payload = b"".join(raw[a:b] for *_, a, b in media.packets)
-            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(raw), hashlib.sha256(raw).hexdigest(), feature(media, payload)))
-        cols = list(zip(*rows, strict=True)) if rows else [()] * 6
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            try:
+                media = parse_mkv(raw)
+                payload = b"".join(raw[a:b] for *_, a, b in media.packets)
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(raw), hashlib.sha256(raw).hexdigest(), feature(media, payload), None))
+            except (ValueError, TypeError) as e:
+                rows.append((None, None, None, None if raw is None else len(raw), None, None, "no file" if raw is None else str(e)))
+        cols = list(zip(*rows, strict=True)) if rows else [()] * 7
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error"])
 
 
 def features(media: DataFrame) -> DataFrame:
     """What is read back of ``doc_id, n_bytes, media``: payload and file digests, and a feature string."""
-    return media.mapInArrow(_features, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(frugal(_features), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string")

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from kinfold.llm.wordhash import NOT_SPACE, U64, doc_words, frugal, mix, text_chunks
 from kinfold.operators.graph import connected_components
-from kinfold.plans.storage import materialize, small_arrow_batches
+from kinfold.plans.storage import materialize, release, small_arrow_batches
 
 SHINGLE, THRESHOLD = 5, 0.8
 HASHES, BANDED, BATCH = 240, 120, 40
@@ -269,6 +269,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float =
     sig = reps.select("id", "sig")
     scored = star.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
     candidates = materialize(scored.mapInArrow(_prune(least), "a long, b long"), "candidates")
+    release(bands, sizes, pivots)
 
     def sets_of(ids: DataFrame) -> DataFrame:
         """``id, words`` of classes: their texts are read again, but only theirs."""
@@ -279,6 +280,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float =
     sets = sets_of(candidates.select(F.col("a").alias("id")).union(candidates.select("b")).distinct())
     both = candidates.join(sets.select(F.col("id").alias("a"), F.col("words").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("words").alias("set_b")), "b")
     links = materialize(both.mapInArrow(_verify(percent), "a long, b long"), "links")
+    release(candidates, sets)
     found = connected_components(links, "a", "b")
     placed = materialize(shared.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")).join(reps.select("id", "n_shingles"), "id"), "placed")
     # A bucket of two had its only pair tried in the first round.
@@ -291,12 +293,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float =
             "bucket", "band", "id", "component", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), (F.col("block") > F.col("other")).cast("int").alias("side")
         )
         ids = member.select("id").distinct()
-        known = sets_of(ids).join(reps.select("id", "sig"), "id")
-        runs = dealt.join(known, "id").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+        sets = sets_of(ids)
+        runs = dealt.join(sets.join(reps.select("id", "sig"), "id"), "id").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
         more = materialize(runs.mapInArrow(_cross(least, rows, percent), "a long, b long"), "cross-links")
+        release(sets)
         if not more.isEmpty():
             found = connected_components(links.unionByName(more), "a", "b")
     label = materialize(classes.join(found, "id", "left").select("class", F.coalesce("component", "id").alias("component_id")), "labels")
+    release(reps, shared, links, placed, open_buckets, member)
     worded = F.col("class").isNotNull() & F.col("doc_id").isNotNull()
     joined = sketch.where(worded).select("doc_id", "n_shingles", "class").join(label, "class").select("doc_id", "n_shingles", "component_id")
     alone = sketch.where(~worded).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
@@ -309,3 +313,16 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: flo
     digest = next(c for i in range(len(docs.columns) + 1) if (c := f"text_md5_{i}") not in docs.columns)
     one = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").withColumn(digest, F.md5(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", digest])
     return one.select(*(F.col(f"`{c}`") for c in docs.columns)).unionByName(docs.where("doc_id is null"))
+
+
+def oracle_sql(shingle: int = SHINGLE, threshold: float = THRESHOLD) -> str:
+    """``near_duplicates``' rows in DuckDB SQL, by brute force over shared shingles; for tables without null or repeated ids."""
+    words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+    return f"""WITH RECURSIVE w AS (SELECT doc_id, {words} AS w FROM documents),
+    sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT doc_id, w, least({shingle}, len(w)) AS k, unnest(range(1, len(w) - least({shingle}, len(w)) + 2)) AS i FROM w WHERE len(w) > 0)),
+    n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+    pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+    link AS (SELECT a, b FROM pair JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= {round(100 * threshold)} * (x.n + y.n - c)),
+    reach AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b),
+    comp AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, component_id = doc_id AS kept FROM comp LEFT JOIN n USING (doc_id)"""

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.llm import bpe, decontaminate, langid, line_dedup, matroska, near_dedup, secrets, token_rollup, toxicity, warc
-from kinfold.plans.storage import new_path
+from kinfold.plans.storage import materialize, new_path
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -58,7 +58,7 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matroska.features(matroska.store(_table(spark, sf_dir, "documents")))
+    return matroska.features(materialize(matroska.store(_table(spark, sf_dir, "documents")), "media"))
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +71,9 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_bpe, op3_token_rollup, op4_decontaminate, op5_secrets, op6_warc, op7_langid, op8_matroska, op9_near_dedup, op10_line_dedup)}
 ORACLE_SQL: dict[str, str] = {
+    "op4_decontaminate": decontaminate.oracle_sql(),
     "op5_secrets": secrets.oracle_sql(),
+    "op6_warc": warc.oracle_sql(),
+    "op9_near_dedup": near_dedup.oracle_sql(3, 0.85),
     "op10_line_dedup": line_dedup.oracle_sql(),
 }

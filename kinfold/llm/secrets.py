@@ -6,8 +6,9 @@ its findings as one committed Parquet batch and joins the ledger back to all pat
 scan that is repeated after a failure finds what was committed and does the rest.
 
 Spans are native: the text is split at the matches of a rule, the matches are extracted, and the running sum of
-both lengths gives code point offsets. Copies of a blob are folded before any text is moved; findings are joined
-back with a salt, since one blob may be a third of all rows.
+both lengths gives code point offsets. Copies of a blob are folded before any text is moved or compared with the
+ledger; findings are joined back as stored tables, a join that Spark's adaptive skew join splits, since one blob may be
+a third of all rows.
 
 Defined results: a null text is an empty text and has no spans. Rows with null or repeated doc_ids are each
 reported as they stand. Further columns are ignored. An empty table gives an empty table.
@@ -20,7 +21,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.plans.storage import exists, new_path
+from kinfold.plans.storage import exists, materialize, new_path
 
 # The rules. Kind, pattern, and what is measured against the least length (a group of the pattern).
 # A minimum that can be written into the pattern without changing its leftmost non-overlapping matches is there.
@@ -36,7 +37,6 @@ MORE = [
     ("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0, "xox"),
 ]
 RULE_VERSION = hashlib.sha256(repr((BASE, MORE)).encode()).hexdigest()[:16]
-SALTS = 16
 _SPANS = "array<struct<start:bigint,kind_no:int,end:bigint,kind:string>>"
 
 
@@ -71,18 +71,17 @@ def scan(docs: DataFrame, ledger: str | None = None, rule_version: str = RULE_VE
     spark = docs.sparkSession
     ledger = ledger or new_path(spark, "secret-ledger")
     paths = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("blob", F.unhex(F.sha2("text", 256)))
-    todo = paths
+    blobs = paths.groupBy("blob").agg(F.first("text").alias("text"))
     if exists(spark, ledger):
         seen = spark.read.parquet(ledger).where(F.col("rule_version") == rule_version).select("blob")
-        todo = paths.join(seen, "blob", "left_anti")
-    blobs = todo.groupBy("blob").agg(F.first("text").alias("text"))
+        blobs = blobs.join(seen, "blob", "left_anti")
     base, more = findings(F.col("text"))
     blobs.select("blob", F.lit(rule_version).alias("rule_version"), base.alias("base"), more.alias("more")).write.mode("append").parquet(ledger)
-    known = spark.read.parquet(ledger).where((F.col("rule_version") == rule_version) & ((F.size("base") > 0) | (F.size("more") > 0))).dropDuplicates(["blob"])
-    spread = known.select("blob", "base", "more", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = paths.select("doc_id", "blob", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    known = spark.read.parquet(ledger).where((F.col("rule_version") == rule_version) & ((F.size("base") > 0) | (F.size("more") > 0)))
+    # Two scans at once may both have entered a blob; their findings are equal.
+    findings_of = materialize(known.dropDuplicates(["blob"]).select("blob", "base", "more"), "findings")
     none = F.array().cast(_SPANS)
-    return salted.join(spread, ["blob", "salt"], "left").select("doc_id", "blob", F.coalesce("base", none).alias("base"), F.coalesce("more", none).alias("more"))
+    return paths.select("doc_id", "blob").join(findings_of, "blob", "left").select("doc_id", "blob", F.coalesce("base", none).alias("base"), F.coalesce("more", none).alias("more"))
 
 
 def _text(spans: Column) -> Column:

@@ -2,21 +2,25 @@
 
 A *batch* is a set of signed events: ``+1`` inserts a document's count, ``-1`` deletes it, and a revised count is a
 ``-1`` of the old value with a ``+1`` of the new one. A batch is summed by key (a partial aggregate, so a source with
-a third of all rows stays spread out) and its sums are committed under the batch's id by one atomic rename. Totals
-are the sums over all committed batches. A batch id that is there already is skipped, so a retry or a replay
-changes nothing; a batch that fails before its rename leaves nothing that counts. ``compact`` publishes a snapshot
+a third of all rows stays spread out) and its sums are committed under the batch's id by one rename that fails if the id
+is taken. Totals are the sums over all committed batches. A batch id that is there already is skipped, so a retry, a
+replay or the later of two commits at once changes nothing; a batch that fails before its rename leaves nothing that
+counts. ``compact`` publishes a snapshot
 with the sums of all batches so far and their ids, again by one rename; totals are the last snapshot's sums and the
 batches that it does not name.
 
 Defined results: null source, language or version are keys of their own; a null sign or count is 0; a null text has
-0 tokens. Rows that repeat an id count once each. Groups whose documents cancel out stay with zeros. Other columns
-are ignored. No batches, or empty ones, give an empty table.
+0 tokens. Rows that repeat an id, and rows without one, count once each. Groups whose documents cancel out stay with
+zeros. Of a text's copies the row with the smallest doc_id counts (without an id: after all others), ties going to the
+smallest source, language, version and count. Other columns are ignored, whatever their names. No batches, or empty
+ones, give an empty table.
 """
 
 from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from urllib.parse import quote, unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,11 +54,11 @@ class Rollup:
     path: str
 
     def _batch(self, batch_id: str) -> str:
-        return f"{self.path}/batches/{batch_id}"
+        return f"{self.path}/batches/{quote(batch_id, safe='')}"
 
     def batches(self) -> list[str]:
         fs, p = hadoop_fs(self.spark, f"{self.path}/batches")
-        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+        return sorted(unquote(s.getPath().getName()) for s in fs.listStatus(p)) if fs.exists(p) else []
 
     def commit(self, batch_id: str, events: DataFrame) -> bool:
         """Apply ``events`` (the keys, ``n_tokens`` and ``sign``) once; False if the id was committed before."""
@@ -94,13 +98,15 @@ class Rollup:
         self.spark.createDataFrame([(b,) for b in ids], "batch_id string").write.parquet(f"{staged}/ids")
         fs, p = hadoop_fs(self.spark, f"{self.path}/snapshots")
         fs.mkdirs(p)
-        rename(self.spark, staged, f"{self.path}/snapshots/{int(last.rpartition('/')[2]) + 1 if last else 0:08d}")
+        if not rename(self.spark, staged, f"{self.path}/snapshots/{int(last.rpartition('/')[2]) + 1 if last else 0:08d}"):
+            delete(self.spark, staged)  # another one has published this snapshot
 
 
 def count_corpus(docs: DataFrame, tokenizer: str, version: str, path: str) -> DataFrame:
     """Totals of ``docs`` after three batches and a replay: inserts with counts estimated from the texts' lengths,
     revisions to exact counts, deletes of exact copies (all but the smallest doc_id of a text)."""
     spark = docs.sparkSession
+    docs = docs.select("doc_id", "source", "lang", "text")
     known = docs.select("doc_id", "source", "lang", "text", F.lit(version).alias("tokenizer"), F.md5(F.coalesce("text", F.lit(""))).alias("key"), F.ceil(F.length(F.coalesce("text", F.lit(""))) / 4).alias("estimate"))
     counts = materialize(bpe.count(known, tokenizer, ("doc_id", *KEYS, "key", "estimate")), "token-counts")
     rollup = Rollup(spark, path)

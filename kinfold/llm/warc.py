@@ -14,8 +14,8 @@ Files go through Hadoop-independent ``pyarrow`` file systems, so the shared fold
 object store. Every task writes under a name of its own attempt, and only names in the returned tables count.
 
 Defined results: null html is an empty payload; a null URL has the empty key; a null page_id is below all others.
-Rows that repeat the page_id of an equal payload's response are responses too. Further columns are ignored. An
-empty table gives no archives, an empty index and an empty result.
+Rows that repeat the page_id of an equal payload's response are responses too and share its record id. Further columns
+are ignored, whatever their names. An empty table gives no archives, an empty index and an empty result.
 """
 
 from __future__ import annotations
@@ -34,11 +34,11 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinfold.llm.wordhash import frugal
 from kinfold.plans.storage import materialize, new_path, small_arrow_batches
 
 LEAST = 1000
 BLOCK_LINES = 512
-SALTS = 16
 #: Bytes of ranges between two wanted ones that are read rather than skipped.
 GAP = 1 << 16
 
@@ -57,33 +57,44 @@ def _open(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", uri))
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
-    """One record as a gzip member. A revisit has no payload but names the response's page and the full length."""
+def _response_id(page_id: int | None, digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'response {page_id} {digest}')}>"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, place: str | None = None) -> bytes:
+    """One record as a gzip member, with an HTTP response as its block; a revisit's has no payload.
+
+    A record's id comes from its ``place`` in the archives, that of a response that others refer to (no place) from its
+    page and payload, so that they can name it.
+    """
+    own = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'record {place}')}>" if place else _response_id(page_id, digest)
     head = {
         "WARC-Type": "revisit" if revisit else "response",
-        "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url} {digest}')}>",
+        "WARC-Record-ID": own,
         "WARC-Target-URI": json.dumps(url or "")[1:-1],
         "WARC-Date": "1970-01-01T00:00:00Z",
         "WARC-Payload-Digest": f"sha1:{digest}",
+        "Content-Type": "application/http;msgtype=response",
         "X-Page-Id": "" if page_id is None else str(page_id),
         "X-Payload-Length": str(len(payload)),
     }
     if revisit:
-        head |= {"WARC-Refers-To": f"<urn:page:{refers_to}>", "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"}
-    block = b"" if revisit else payload
+        head |= {"WARC-Refers-To": _response_id(refers_to, digest), "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "X-Refers-To-Page": str(refers_to)}
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    block = http if revisit else http + payload
     lines = ["WARC/1.1", *(f"{k}: {v}" for k, v in head.items()), f"Content-Length: {len(block)}", "", ""]
     return gzip.compress("\r\n".join(lines).encode() + block + b"\r\n\r\n", 1, mtime=0)
 
 
 def parse_record(member: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers and block of one gzip member."""
+    """Headers and payload (what follows the HTTP head) of one gzip member."""
     raw = gzip.decompress(member)
     head, _, rest = raw.partition(b"\r\n\r\n")
     first, *lines = head.decode().split("\r\n")
     if not first.startswith("WARC/"):
         raise ValueError("no WARC record")
     headers = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in lines)
-    return headers, rest[: int(headers["Content-Length"])]
+    return headers, rest[: int(headers["Content-Length"])].partition(b"\r\n\r\n")[2]
 
 
 CAPTURE = "key string, page_id long, url string, digest string, file string, offset long, length long"
@@ -99,7 +110,7 @@ def _write(folder: str):
                 if out is None:
                     fs.create_dir(base, recursive=True)
                     out = fs.open_output_stream(f"{base}/{name}", compression=None)
-                member = record(r["page_id"], r["url"], (r["html"] or "").encode(), r["digest"], r["refers_to"], r["revisit"])
+                member = record(r["page_id"], r["url"], (r["html"] or "").encode(), r["digest"], r["refers_to"], r["revisit"], None if r["referred"] else f"{name} {at}")
                 out.write(member)
                 rows.append((at, len(member)))
                 at += len(member)
@@ -112,7 +123,7 @@ def _write(folder: str):
         if out is not None:
             out.close()
 
-    return run
+    return frugal(run)
 
 
 def write_archives(pages: DataFrame, folder: str, least: int = LEAST) -> DataFrame:
@@ -122,11 +133,10 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST) -> DataFra
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", url_key(F.col("url")).alias("key"), F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).cast("long").alias("bytes"))
     big = keyed.where(F.col("bytes") >= least)
     repeated = materialize(big.groupBy("digest", "bytes").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1").select("digest", "bytes", "response"), "repeated")
-    # One payload may be a third of all pages: its row is repeated over a few salts to split that join.
-    spread = repeated.select("digest", "bytes", "response", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    ruled = keyed.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(spread, ["digest", "bytes", "salt"], "left")
+    # One payload may be a third of all pages: a join of two plain exchanges, which the adaptive skew join splits.
+    ruled = keyed.join(repeated, ["digest", "bytes"], "left")
     revisit = F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response"))
-    rows = ruled.select("key", "page_id", "url", "html", "digest", F.when(revisit, F.col("response")).alias("refers_to"), revisit.alias("revisit"))
+    rows = ruled.select("key", "page_id", "url", "html", "digest", F.when(revisit, F.col("response")).alias("refers_to"), revisit.alias("revisit"), (F.col("response").isNotNull() & ~revisit).alias("referred"))
     return materialize(rows.mapInArrow(_write(folder), CAPTURE), "captures")
 
 
@@ -166,7 +176,7 @@ def _write_shard(folder: str):
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (name, first, at, len(packed), total)], ["shard", "first_key", "directory_at", "directory_length", "captures"])
 
-    return run
+    return frugal(run)
 
 
 def build_index(captures: DataFrame, folder: str) -> DataFrame:
@@ -224,7 +234,7 @@ def _lookup(folder: str, top: list[dict]):
             kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [f.split()[0] for f in CAPTURE.split(", ")])
 
-    return run
+    return frugal(run)
 
 
 def _route(firsts: list[str]):
@@ -237,7 +247,7 @@ def _route(firsts: list[str]):
             pairs = [(n, key) for key in batch.column("key").to_pylist() for n in range(max(0, bisect_left(firsts, key) - 1), bisect_right(firsts, key))]
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int32()), pa.array([p[1] for p in pairs], pa.string())], ["shard_no", "key"])
 
-    return run
+    return frugal(run)
 
 
 def lookup(keys: DataFrame, index: DataFrame, folder: str) -> DataFrame:
@@ -275,14 +285,14 @@ def _read(folder: str, with_payload: bool):
                     if kind == "response" and hashlib.sha1(body).hexdigest() != digest:
                         raise ValueError(f"the payload of {c['url']} does not match its digest")
                     page = int(head["X-Page-Id"]) if head["X-Page-Id"] else None
-                    refers = int(head["WARC-Refers-To"][10:-1]) if kind == "revisit" else None
+                    refers = int(head["X-Refers-To-Page"]) if kind == "revisit" else None
                     rows.append((page, int(head["X-Payload-Length"]), digest, kind, refers, body.decode() if with_payload and kind == "response" else None))
                 at = stop
             cols = list(zip(*rows, strict=True)) if rows else [()] * 6
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [f.split()[0] for f in READ.split(", ")])
 
-    return run
+    return frugal(run)
 
 
 def read_captures(captures: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
@@ -300,3 +310,11 @@ def archive(pages: DataFrame, folder: str | None = None) -> DataFrame:
     index = build_index(captures, f"{folder}/index")
     wanted = pages.select(url_key(F.col("url")).alias("key"))
     return read_captures(lookup(wanted, index, f"{folder}/index"), f"{folder}/archives").drop("payload")
+
+
+def oracle_sql() -> str:
+    """``archive``'s rows in DuckDB SQL; what it cannot say is how they pass through the files."""
+    revisit = "response IS NOT NULL AND page_id IS DISTINCT FROM response"
+    return f"""WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+    r AS (SELECT n, d, max(page_id) AS response FROM p WHERE n >= {LEAST} GROUP BY n, d HAVING count(*) > 1)
+    SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN {revisit} THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN {revisit} THEN response END AS refers_to FROM p LEFT JOIN r USING (n, d)"""

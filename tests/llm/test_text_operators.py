@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from kinfold.llm import bpe, decontaminate, line_dedup, near_dedup, queries, secrets, token_rollup
+from kinfold.llm import bpe, decontaminate, line_dedup, near_dedup, queries, secrets, token_rollup, wordhash
 from kinfold.plans.storage import new_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -59,6 +59,61 @@ def test_near_duplicates(spark):
     assert sorted(map(tuple, got.collect())) == jaccard_components(rows, 3, 85)
 
 
+def thue_morse(n, letters="ab"):
+    """A word and its complement, which agree in every polynomial modulo 2**64 from 1,024 letters on."""
+    word = letters[0]
+    while len(word) < n:
+        word += word.translate(str.maketrans(letters, letters[::-1]))
+    return word, word.translate(str.maketrans(letters, letters[::-1]))
+
+
+def test_structured_words_are_told_apart(spark):
+    words = [w for n in (1024, 2048, 4096) for w in thue_morse(n)]
+    assert len(set(wordhash.text_words(" ".join(words).encode(), wordhash.NOT_SPACE).tolist())) == len(words)
+    rows = [(i, " ".join([w, *"cdefghijk"])) for i, w in enumerate(words)]
+    assert {r.component_id for r in near_dedup.near_duplicates(frame(spark, [(i, w) for i, w in enumerate(words)]), 3, 0.85).collect()} == set(range(6))
+    bench = [(1, " ".join([words[0], *"cdefghi"]))]
+    got = decontaminate.contamination(frame(spark, rows), frame(spark, bench, "item_id long, text string"))
+    assert {r.doc_id: r.n_hit for r in got.collect()} == {0: 8, 1: 0, 2: 0, 3: 0, 4: 0, 5: 0}
+
+
+def test_long_texts_are_split_by_slices(monkeypatch):
+    text = b"  One two\tthree " * 3000 + b"x" * 5000 + b" end"
+    for words in (wordhash.NOT_SPACE, wordhash.WORD_BYTES):
+        whole = wordhash.text_words(text, words)
+        monkeypatch.setattr(wordhash.slices, "__defaults__", (64,))
+        assert (wordhash.text_words(text, words) == whole).all() and len(whole) == 9002
+        monkeypatch.undo()
+
+
+def test_long_documents(spark, tokenizer):
+    """One document of 50 MB beside short ones, in the operators on words."""
+    rng = np.random.default_rng(4)
+    part = prose(rng, 50_000)
+    long = " ".join([part] * 143)
+    docs = frame(spark, [(1, "one two three four five six seven eight"), (2, long), (3, long[:1000])])
+    bench = frame(spark, [(9, "one two three four five six seven eight"), (8, " ".join(part.split(" ")[100:110]))], "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.contamination(docs, bench).collect()}
+    assert len(long) > 50_000_000 and got[1].n_hit == 8 and got[2].n_words == 7_150_000 and got[2].n_hit == 1430
+    tokens = {r.doc_id: r for r in bpe.encode(docs, queries.TOKENIZER).collect()}
+    assert tokens[2].decoded_sha256 == hashlib.sha256(long.encode()).hexdigest()
+    sizes = [len(e.ids) for e in tokenizer[0].encode_batch([part, " " + part], add_special_tokens=False)]
+    assert tokens[2].n_tokens == sizes[0] + 142 * sizes[1]
+    near = {r.doc_id: r for r in near_dedup.near_duplicates(docs, 3, 0.85).collect()}
+    assert near[2].n_shingles == 50_000 and all(r.kept for r in near.values())
+
+
+def test_near_duplicates_of_a_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    assert same_as_sql(spark, near_dedup.near_duplicates(docs, 3, 0.85), near_dedup.oracle_sql(3, 0.85), docs)
+    assert same_as_sql(spark, near_dedup.near_duplicates(docs), near_dedup.oracle_sql(), docs)
+
+
+def test_near_duplicates_keep_clashing_columns(spark):
+    docs = frame(spark, [(1, "a b c", "x", "y"), (2, "a b c", None, "z"), (None, "a b c", "w", "v")], "doc_id long, text string, text_md5_0 string, class string")
+    assert sorted(map(str, near_dedup.drop_near_duplicates(docs).collect())) == sorted(map(str, [docs.collect()[0], docs.collect()[2]]))
+
+
 def test_near_duplicates_defined_cases(spark):
     docs = frame(spark, [(None, "a b c", "x"), (1, "a b c", "y"), (1, "a b c", "z"), (2, "d e f", None)], "doc_id long, text string, component_id string")
     got = near_dedup.near_duplicates(docs, 3, 0.85)
@@ -91,6 +146,7 @@ def test_bpe_matches_the_library(tokenizer):
     rng = np.random.default_rng(0)
     letters = [32, 32, 10, 97, 98, 101, 104, 116, 39, 39, 115, 118, 108, 0x4E2D, 0x301, 0xE9, 0x661, 0x2003, 0x1F600, 33, 48, 0, 0x1C, 0x85, 0xA0]
     texts = ["".join(map(chr, rng.choice(letters, rng.integers(0, 60)))) for _ in range(400)]
+    texts += [w for n in (1024, 2048, 4096) for w in thue_morse(n)]
     texts += ["", "a<|endoftext|>b", "<|endoftext|><|endoftext|> ", "aaaaaaa" * 40, "don't I'LL we've 'S's", "   x", "x   "]
     ids = own.encode_batch(texts)
     assert [x.tolist() for x in ids] == [e.ids for e in ref.encode_batch(texts, add_special_tokens=False)]
@@ -99,6 +155,17 @@ def test_bpe_matches_the_library(tokenizer):
     assert own.decode_batch([odd]) == [ref.decode(odd.tolist(), skip_special_tokens=False)]
 
 
+def test_bpe_cuts_long_texts(tokenizer, monkeypatch):
+    """Pieces of a few characters give the ids of the whole, and tables that start anew change nothing."""
+    ref, own = tokenizer
+    monkeypatch.setattr(bpe, "PIECE", 40)
+    monkeypatch.setattr(bpe, "KNOWN", 5)
+    rng = np.random.default_rng(1)
+    texts = ["".join(rng.choice(list("ab c  'd\n1é😀 ll"), 2000)) for _ in range(5)] + ["x" * 500, "a<|endoftext|> b" * 50]
+    assert [x.tolist() for x in own.encode_batch(texts)] == [e.ids for e in ref.encode_batch(texts, add_special_tokens=False)]
+    assert own.decode_batch(own.encode_batch(texts)) == texts
+
+
 def test_bpe_query_rows(spark, tokenizer):
     docs = frame(spark, [(1, "the cat"), (1, None), (None, "")])
     got = sorted(map(tuple, bpe.encode(docs, queries.TOKENIZER).collect()), key=str)
@@ -152,6 +219,22 @@ def test_decontamination_of_a_table(spark):
     assert decontaminate.contamination(docs, bench.limit(0)).where("n_items > 0").count() == 0
 
 
+def test_decontamination_matches_sql(spark):
+    docs, bench = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    db = duckdb.connect()
+    db.register("documents", docs.toPandas())
+    db.register("benchmark", bench.toPandas())
+    got = decontaminate.contamination(docs, bench)
+    want = db.sql(decontaminate.oracle_sql()).fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want) and sum(r[3] for r in want) > 0
+
+
+def test_decontamination_keeps_clashing_columns(spark):
+    docs = frame(spark, [(1, "a b c d", "x"), (None, None, "y")], "doc_id long, text string, text_md5_0 string")
+    kept = decontaminate.drop_contaminated(docs, frame(spark, [(1, "a b"), (2, "c d")], "item_id long, text string"))
+    assert [tuple(r) for r in kept.collect()] == [(None, None, "y")] and kept.columns == docs.columns
+
+
 def test_proximity(spark):
     docs = frame(spark, [(1, "x a q b y"), (2, "b a"), (3, "a 1 2 3 4 5 6 7 b")])
     got = decontaminate.proximity_matches(docs, frame(spark, [(2, "a b")], "item_id long, text string"), slop=2)
@@ -185,6 +268,16 @@ def test_ledger_scans_only_unseen(spark):
     assert spark.read.parquet(ledger).count() == 5
 
 
+def test_ledger_and_a_blob_in_a_third_of_the_rows(spark):
+    """A second scan folds copies before it asks the ledger; every path gets its findings, old or new."""
+    ledger = new_path(spark, "ledger")
+    secrets.scan(frame(spark, [(1, "token=abcdef")]), ledger).count()
+    rows = [(i, "token=abcdef" if i % 3 == 0 else "secret=hijklmn" if i % 3 == 1 else f"clean {i}") for i in range(300)]
+    got = secrets.report(secrets.scan(frame(spark, rows), ledger)).collect()
+    assert len(got) == 300 and all(r.n_assign == (r.doc_id % 3 < 2) for r in got)
+    assert spark.read.parquet(ledger).count() == 102
+
+
 def test_line_dedup(spark):
     rows = [(i, f"Order {i} from shop placed today\nA{'abcdefghijklmno'[i]} text only here\n\nlong words one two three four five {'abcdefghijklmno'[i]} seven eight nine ten eleven") for i in range(15)]
     rows += [(20, None), (21, ""), (22, "single"), (23, "copy line one\ncopy line two"), *[(30 + i, "copy line one\ncopy line two") for i in range(15)], (None, rows[0][1]), (1, rows[0][1])]
@@ -278,3 +371,35 @@ def test_rollup(spark, tokenizer):
     assert not state.commit("insert", event) and state.commit("last", event)
     assert {(r.source, r.lang): r.n_tokens for r in state.totals().collect()}["a", "en"] == 12 + n
     assert token_rollup.Rollup(spark, new_path(spark, "none")).totals().count() == 0
+
+
+def test_rollup_of_a_table(spark, tokenizer):
+    """Inserts, revisions, a replay and deletes of copies, against counts by hand over all documents."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want, kept = {}, {}
+    for r in docs.orderBy("doc_id").collect():
+        total = want.setdefault((r.source, r.lang), [0, 0])
+        if kept.setdefault(r.text or "", r.doc_id) == r.doc_id:
+            total[0] += 1
+            total[1] += len(tokenizer[0].encode(r.text or "", add_special_tokens=False).ids)
+    got = token_rollup.count_corpus(docs, queries.TOKENIZER, "v", new_path(spark, "rollup"))
+    assert {(r.source, r.lang): [r.n_docs, r.n_tokens] for r in got.collect()} == want
+
+
+def test_rollup_defined_cases(spark):
+    """Null ids and ties of copies, clashing columns, an empty table."""
+    rows = [(None, "a b", "en", "s", "k", 1), (None, "a b", "en", "s", "k", 2), (5, "a b", "de", "t", "k", 3), (5, "a b", "de", "q", "k", 3), (None, None, None, None, None, None)]
+    docs = frame(spark, rows, "doc_id long, text string, lang string, source string, key string, estimate int")
+    got = {(r.source, r.lang): (r.n_docs, r.n_tokens) for r in token_rollup.count_corpus(docs, queries.TOKENIZER, "v", new_path(spark, "r")).collect()}
+    assert got == {("s", "en"): (0, 0), ("t", "de"): (0, 0), ("q", "de"): (1, 2), (None, None): (1, 0)}
+    assert token_rollup.count_corpus(docs.limit(0), queries.TOKENIZER, "v", new_path(spark, "r")).count() == 0
+
+
+def test_commits_of_one_batch_race(spark, monkeypatch):
+    """Both pass the first look; one commits, the other reports that it did not, and the totals hold one batch."""
+    path = new_path(spark, "race")
+    event = token_rollup.inserts(frame(spark, [("a", "en", "v", 5)], "source string, lang string, tokenizer string, n_tokens long"))
+    monkeypatch.setattr(token_rollup, "exists", lambda *_: False)
+    state = token_rollup.Rollup(spark, path)
+    assert [state.commit("2024/01 x=1", event), state.commit("2024/01 x=1", event)] == [True, False]
+    assert state.batches() == ["2024/01 x=1"] and state.totals().collect()[0].n_docs == 1
