@@ -8,65 +8,64 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-# Short forms of given names, by the name they stand for.
-SHORT_FORMS = """
-robert: bob bobby rob robbie robby bert
-william: bill billy will willy willie liam
-michael: mike mikey mick mickey
-james: jim jimmy jamie
-richard: dick rick ricky rich richie
-john: jack johnny jon
-joseph: joe joey
-thomas: tom tommy
-david: dave
-daniel: dan danny
-edward: ed eddie ted teddy ned
-stephen: steve stevie
-christopher: chris
-matthew: matt matty
-anthony: tony
-andrew: andy drew
-alexander: alex
-albert: al
-benjamin: ben benny
-charles: charlie chuck charley
-frederick: fred freddy
-francis: frank frankie
-henry: hank harry hal
-gerald: jerry gerry
-lawrence: larry
-leonard: lenny leo
-nicholas: nick nicky
-patrick: pat paddy
-peter: pete petey
-philip: phil
-raymond: ray
-samuel: sam sammy
-walter: walt wally
-kenneth: ken kenny
-ronald: ron ronny ronnie
-donald: don donny donnie
-gregory: greg
-douglas: doug dougie
-elizabeth: liz lizzy beth betty betsy eliza
-katherine: kate katie kathy cathy
-jennifer: jen jenny
-susan: sue susie suzy
-margaret: maggie meg peggy madge
-barbara: barb
-deborah: debbie deb
-cynthia: cindy
-victoria: vicky tori
-rebecca: becky becca
-pamela: pam
-sandra: sandy
-amanda: mandy
-abigail: abby
-gabrielle: gabby gabi
-stephanie: steph
-nicole: nicki
-"""
-LONG_FORM = {short: line.split(": ")[0] for line in SHORT_FORMS.strip().split("\n") for short in line.split(": ")[1].split()}
+# Short forms of given names, and the name that each stands for.
+LONG_FORM = {
+    "bob": "robert", "bobby": "robert", "rob": "robert", "robbie": "robert", "robby": "robert", "bert": "robert",
+    "bill": "william", "billy": "william", "will": "william", "willy": "william", "willie": "william", "liam": "william",
+    "mike": "michael", "mikey": "michael", "mick": "michael", "mickey": "michael",
+    "jim": "james", "jimmy": "james", "jamie": "james",
+    "dick": "richard", "rick": "richard", "ricky": "richard", "rich": "richard", "richie": "richard",
+    "jack": "john", "johnny": "john", "jon": "john",
+    "joe": "joseph", "joey": "joseph",
+    "tom": "thomas", "tommy": "thomas",
+    "dave": "david",
+    "dan": "daniel", "danny": "daniel",
+    "ed": "edward", "eddie": "edward", "ted": "edward", "teddy": "edward", "ned": "edward",
+    "steve": "stephen", "stevie": "stephen",
+    "chris": "christopher",
+    "matt": "matthew", "matty": "matthew",
+    "tony": "anthony",
+    "andy": "andrew", "drew": "andrew",
+    "alex": "alexander",
+    "al": "albert",
+    "ben": "benjamin", "benny": "benjamin",
+    "charlie": "charles", "chuck": "charles", "charley": "charles",
+    "fred": "frederick", "freddy": "frederick",
+    "frank": "francis", "frankie": "francis",
+    "hank": "henry", "harry": "henry", "hal": "henry",
+    "jerry": "gerald", "gerry": "gerald",
+    "larry": "lawrence",
+    "lenny": "leonard", "leo": "leonard",
+    "nick": "nicholas", "nicky": "nicholas",
+    "pat": "patrick", "paddy": "patrick",
+    "pete": "peter", "petey": "peter",
+    "phil": "philip",
+    "ray": "raymond",
+    "sam": "samuel", "sammy": "samuel",
+    "walt": "walter", "wally": "walter",
+    "ken": "kenneth", "kenny": "kenneth",
+    "ron": "ronald", "ronny": "ronald", "ronnie": "ronald",
+    "don": "donald", "donny": "donald", "donnie": "donald",
+    "greg": "gregory",
+    "doug": "douglas", "dougie": "douglas",
+    "liz": "elizabeth", "lizzy": "elizabeth", "beth": "elizabeth", "betty": "elizabeth", "betsy": "elizabeth", "eliza": "elizabeth",
+    "kate": "katherine", "katie": "katherine", "kathy": "katherine", "cathy": "katherine",
+    "jen": "jennifer", "jenny": "jennifer",
+    "sue": "susan", "susie": "susan", "suzy": "susan",
+    "maggie": "margaret", "meg": "margaret", "peggy": "margaret", "madge": "margaret",
+    "barb": "barbara",
+    "debbie": "deborah", "deb": "deborah",
+    "cindy": "cynthia",
+    "vicky": "victoria", "tori": "victoria",
+    "becky": "rebecca", "becca": "rebecca",
+    "pam": "pamela",
+    "sandy": "sandra",
+    "mandy": "amanda",
+    "abby": "abigail",
+    "gabby": "gabrielle", "gabi": "gabrielle",
+    "steph": "stephanie",
+    "nicki": "nicole",
+}
 
 
 def jaro_winkler(a: bytes, b: bytes) -> float:

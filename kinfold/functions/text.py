@@ -14,6 +14,7 @@ TITLES = ["dr", "mr", "mrs", "ms", "prof", "rev", "sir", "dame"]
 SUFFIXES = ["jr", "sr", "ii", "iii", "iv", "esq", "md", "phd", "dds"]
 GENERATIONS = {"jr": "jr", "junior": "jr", "sr": "sr", "senior": "sr", "ii": "ii", "iii": "iii", "iv": "iv", "v": "v"}
 MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
+# The readable forms of a birthday.
 _FULL = r"^(\d{4})-?(\d{2})-?(\d{2})(?:[T ]\d{2}:\d{2}(?::\d{2})?(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?)?$"
 _NO_YEAR = r"^--(\d{2})-?(\d{2})$"
 _YMD = r"^(\d{4})[/.](\d{1,2})[/.](\d{1,2})$"
@@ -183,11 +184,13 @@ def split_unescaped(s: Column, separator: str = ";") -> Column:
 
 def unescape(s: Column) -> Column:
     """``\\n`` is a line feed, any other escaped character itself; a last lone backslash stays."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(s, r"\\\\", "\u0001"), r"\\[nN]", "\n"), r"\\(?s:(.))", "$1"), "\u0001", r"\\")
+    pieces = F.regexp_extract_all(s, F.lit(r"(?s)\\.|[^\\]+|\\"), F.lit(0))
+    plain = F.transform(pieces, lambda p: F.when(~p.startswith("\\") | (F.length(p) == 1), p).when(p.isin(r"\n", r"\N"), "\n").otherwise(F.substring(p, 2, 1)))
+    return F.array_join(plain, "")
 
 
 def escape(s: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(s, r"([\;,])", r"\\$1"), "\n", r"\\n")
+    return F.regexp_replace(F.regexp_replace(s, r"([\\;,])", r"\\$1"), "\n", r"\\n")
 
 
 def org(s: Column) -> Column:
@@ -212,3 +215,20 @@ def display_name(c: Column | None = None) -> Column:
     f = (lambda n: c[n]) if c is not None else F.col
     full = F.trim(F.concat_ws(" ", f("given_name"), f("family_name")))
     return F.coalesce(first_filled(f("formatted_name"), full, F.try_element_at(f("emails"), F.lit(1))["address"], F.try_element_at(f("phones"), F.lit(1))["number"]), F.lit("(unknown)"))
+
+
+def display_phone(raw: Column) -> Column:
+    """``(212) 555-0100`` where ten digits are left, else as written."""
+    digits = phone(raw)
+    return F.when(F.length(digits) == 10, F.regexp_replace(digits, r"^(\d{3})(\d{3})(\d{4})$", r"($1) $2-$3")).otherwise(raw)
+
+
+def display_org(org: Column) -> Column:
+    """Units as text, joined by commas; empty ones are left out."""
+    units = F.transform(split_unescaped(org), lambda u: strip(unescape(u)))
+    return F.array_join(F.filter(units, lambda u: u != ""), ", ")
+
+
+def display_address(a: Column) -> Column:
+    parts = F.filter(F.array(a["street"], a["city"], a["region"], a["postcode"], a["country"]), lambda x: x != "")
+    return F.when(F.size(parts) > 0, F.array_join(parts, ", ")).otherwise("(empty)")

@@ -2,6 +2,10 @@
 
 A block of more than ``limit`` contacts of one family name is not paired in full: its pairs come from two further
 equi-joins, on the family with the first initial and on the family with the organisation.
+
+The pairs of one key are quadratic in its contacts, and nothing caps them by default. They are made in blocks of ``BLOCK``
+contacts by ``BLOCK``: a contact of a large key stands in one row for each block that its own meets, and the key's pairs of
+blocks are what the join deals to tasks.
 """
 
 from __future__ import annotations
@@ -13,13 +17,19 @@ from pyspark.sql import functions as F
 
 from kinfold.model import BLOCK_LIMIT
 
+BLOCK = 1000
+
 
 def _pairs(keyed: DataFrame, keys: list[str], cap: int | None = None) -> DataFrame:
     """Pairs ``a < b`` that share all keys; ``cap`` leaves out keys with more rows (off by default)."""
     if cap is not None:
-        keyed = keyed.join(keyed.groupBy(*keys).count().where(F.col("count") <= cap).drop("count"), keys, "left_semi")
-    left, right = keyed.select(*keys, F.col("idx").alias("a")), keyed.select(*keys, F.col("idx").alias("b"))
-    return left.join(right, keys).where("a < b").select("a", "b")
+        keyed = keyed.join(keyed.groupBy(*keys).count().where(F.col("count") <= cap).select(*keys), keys, "left_semi")
+    # Keys with one contact have no pairs; small keys have one block.
+    sizes = keyed.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
+    placed = keyed.join(sizes, keys).withColumn("block", F.pmod(F.xxhash64("idx"), F.col("blocks")).cast("int"))
+    left = placed.select(*keys, F.col("idx").alias("a"), F.col("block").alias("x"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("y"))
+    right = placed.select(*keys, F.col("idx").alias("b"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("x"), F.col("block").alias("y"))
+    return left.join(right, [*keys, "x", "y"]).where("x < y or a < b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def block_email(norm: DataFrame, cap: int | None = None) -> DataFrame:

@@ -63,10 +63,11 @@ def score_pairs(pairs: DataFrame, norm: DataFrame) -> DataFrame:
         "birthday_conflict": x["bday"]["ok"] & y["bday"]["ok"] & ~agree,
         "birthday_unknown": (x["birthday"] != "") & (y["birthday"] != "") & ~(x["bday"]["ok"] & y["bday"]["ok"]),
     }
-    # Only the two names go through Arrow, and no pair of equal names does.
+    # Each distinct pair of different names is compared once, whatever the number of contacts that bear them.
     differ = ~nameless & (x["full"] != y["full"])
     featured = both.select("a", "b", *(c.alias(n) for n, c in flags.items()), F.when(differ, x["full"]).alias("nx"), F.when(differ, y["full"]).alias("ny"), differ.alias("differ"))
-    near = featured.withColumn("sim", name_similarity(F.coalesce("nx", F.lit("")), F.coalesce("ny", F.lit(""))))
+    compared = featured.where("differ").select("nx", "ny").distinct().withColumn("sim", name_similarity(F.col("nx"), F.col("ny")))
+    near = featured.join(compared, ["nx", "ny"], "left")
     near = near.withColumn("name_similarity", F.when(F.col("nameless"), 0.0).when(F.col("differ"), F.col("sim")).otherwise(1.0))
     return near.withColumn("score", _score()).withColumn("tier", classify()).select("a", "b", "score", "tier", "name_similarity", *FLAGS)
 

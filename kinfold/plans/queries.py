@@ -53,7 +53,7 @@ def plausibility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _blocked(f: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, sf_dir: f(normalize(derived_contacts(spark, sf_dir)))
+    return lambda spark, sf_dir: f(_resolution(spark, sf_dir).norm)
 
 
 for _f in (blocking.block_email, blocking.block_phone, blocking.block_family_small, blocking.block_family_large, blocking.candidate_pairs):

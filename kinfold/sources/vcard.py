@@ -12,21 +12,25 @@ import base64
 import binascii
 import os
 import re
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import BinaryIO
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from kinfold import model as M
 from kinfold.functions import text as X
+from kinfold.plans.storage import materialize
 
 # Characters that are dropped from values, and the properties that have columns of their own.
 CONTROL = re.compile("[\x00-\x08\x0b-\x1f\x7f-\x9f​‎‏‪-‮⁠-⁤⁦-⁩﻿]")
 MODELED = {"BEGIN", "END", "VERSION", "N", "FN", "EMAIL", "TEL", "ORG", "TITLE", "BDAY", "ADR", "NOTE", "URL", "PHOTO", "PRODID", "REV"}
 PLATFORMS = ("icloud", "google")
+_BETWEEN = re.compile(rb"(?:^|\n)END:VCARD[ \t]*\r?\n(?=BEGIN:VCARD)", re.I)
 _PARAM = re.compile(r';([^=;:]+)(?:=("[^"]*"|[^;:]*))?')
 
 
@@ -52,7 +56,7 @@ class Card:
 
         def order(p: Property) -> int:
             pref = p.param("PREF")
-            return int(pref) if pref.isdigit() else 0 if any("pref" in v.lower().split(",") for v in p.params.get("TYPE", [])) else 1000
+            return int(pref) if re.fullmatch("[0-9]+", pref) else 0 if any("pref" in v.lower().split(",") for v in p.params.get("TYPE", [])) else 1000
 
         return min(self.all(name), key=order, default=None)
 
@@ -79,7 +83,7 @@ def unescape(value: str) -> str:
 
 
 def escape(value: str) -> str:
-    return re.sub(r"[\;,]", r"\\\g<0>", value).replace("\n", r"\n")
+    return re.sub(r"[\\;,]", r"\\\g<0>", value).replace("\n", r"\n")
 
 
 def parse_line(line: str) -> Property | None:
@@ -101,7 +105,7 @@ def parse_line(line: str) -> Property | None:
 def cards(text: str) -> Iterator[tuple[int, Card | None, str]]:
     """``(number, card, warning)`` of the cards in a file; either is set."""
     number, card, absorbed = 0, None, 0
-    for line in re.sub(r"\r?\n[ \t]", "", text.removeprefix("﻿")).splitlines():
+    for line in re.split(r"\r?\n", re.sub(r"\r?\n[ \t]", "", text.removeprefix("﻿"))):
         head = line.strip().upper()
         if head == "BEGIN:VCARD":
             if card is None:
@@ -124,8 +128,9 @@ def cards(text: str) -> Iterator[tuple[int, Card | None, str]]:
 
 def provenance(value: str, source: str) -> list[str]:
     """Sources that a written card names: one platform, or ``merged(a+b)``; anything else is the card's own source."""
-    inner = re.fullmatch(r"merged\((.*)\)", value)
-    names = inner[1].split("+") if inner else [value]
+    value = value.strip()
+    inner = re.fullmatch(r"merged\((.*)\)", value, re.S)
+    names = [n.strip() for n in (inner[1] if inner else value).split("+")]
     return list(dict.fromkeys(names)) if names and all(n in PLATFORMS for n in names) else [source]
 
 
@@ -169,17 +174,18 @@ def to_row(card: Card, source: str, idx: int) -> dict:
     return row
 
 
-#: Contacts and warnings in one table: ``kind`` tells which, ``card`` is the physical card's number.
-PARSED = T.StructType([T.StructField("kind", T.StringType()), T.StructField("card", T.IntegerType()), T.StructField("warning", T.StringType()), T.StructField("omit_year", T.StringType()), *M.CONTACT.fields])
+#: Contacts and warnings in one table: ``kind`` tells which, ``card`` is the physical card's number in its ``file`` (and
+#: ``chunk`` of it).
+PARSED = T.StructType([T.StructField("file", T.StringType()), T.StructField("chunk", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("card", T.IntegerType()), T.StructField("warning", T.StringType()), T.StructField("omit_year", T.StringType()), *M.CONTACT.fields])
 
 
-def parsed_rows(text: str, source: str) -> Iterator[tuple]:
-    """Rows of ``PARSED``; malformed cards take no contact index."""
-    idx = 0
+def parsed_rows(text: str, source: str, file: str = "", chunk: int = 0) -> Iterator[tuple]:
+    """Rows of ``PARSED``; malformed cards take no contact index, which counts from 0 in each chunk."""
+    idx, place = 0, {"file": file, "chunk": chunk}
     for number, card, warning in cards(text):
-        row: dict = {"kind": "warning", "card": number, "warning": warning}
+        row: dict = place | {"kind": "warning", "card": number, "warning": warning}
         if card is not None:
-            row = {"kind": "contact", "card": number, "warning": ""} | to_row(card, source, idx)
+            row = place | {"kind": "contact", "card": number, "warning": ""} | to_row(card, source, idx)
             idx += 1
         yield tuple(row.get(f.name) for f in PARSED.fields)
 
@@ -191,17 +197,37 @@ def _finished(parsed: DataFrame) -> DataFrame:
     return parsed.withColumn("birthday", F.when(marked, X.birthday_without_year(day)).otherwise(day)).drop("omit_year")
 
 
+def numbered(parsed: DataFrame) -> DataFrame:
+    """``PARSED`` rows with ``idx`` and ``card`` counted over all files, in the order of their paths and chunks. Only a
+    row a chunk is gathered."""
+    sizes = parsed.groupBy("file", "chunk").agg(F.count_if(F.col("kind") == "contact").alias("contacts"), (F.max("card") + 1).alias("cards"))
+    before = Window.orderBy("file", "chunk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("file", "chunk", *(F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"{n}_before") for n in ("contacts", "cards")))
+    out = parsed.join(F.broadcast(starts), ["file", "chunk"])
+    return out.withColumns({"idx": (F.col("idx") + F.col("contacts_before")).cast("int"), "card": (F.col("card") + F.col("cards_before")).cast("int")}).select(*parsed.columns)
+
+
 def parse_files(spark: SparkSession, path: str, source: str = "unknown") -> DataFrame:
-    """``PARSED`` rows of all files at ``path``, read by Spark; a file is one task's work."""
+    """``PARSED`` rows of all files at ``path``, read by Spark and parsed once; a file is one task's work. For larger
+    files see ``parse_large``."""
 
     def run(batches):
         import pandas as pd
 
         for pdf in batches:
-            rows = [(*r[:4], *r[4:]) for text in pdf["value"] for r in parsed_rows(text, source)]
+            rows = [r for file, text in zip(pdf["file"], pdf["value"], strict=True) for r in parsed_rows(text, source, file)]
             yield pd.DataFrame(rows, columns=[f.name for f in PARSED.fields])
 
-    return _finished(spark.read.text(path, wholetext=True).mapInPandas(run, PARSED))
+    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    return numbered(materialize(_finished(texts.mapInPandas(run, PARSED)), "parsed"))
+
+
+def parse_large(spark: SparkSession, path: str, source: str = "unknown", chunk_bytes: int = 64 << 20) -> DataFrame:
+    """As ``parse_files``, with files cut between cards in chunks of about ``chunk_bytes``, a task each; for paths that
+    Python can open on every executor."""
+    spark.dataSource.register(VCardSource)
+    rows = spark.read.format("vcard").option("source", source).option("chunkBytes", str(chunk_bytes)).load(path)
+    return numbered(materialize(_finished(rows), "parsed"))
 
 
 def contacts(parsed: DataFrame) -> DataFrame:
@@ -209,7 +235,7 @@ def contacts(parsed: DataFrame) -> DataFrame:
 
 
 def warnings(parsed: DataFrame) -> DataFrame:
-    return parsed.where("kind = 'warning'").select("card", "warning")
+    return parsed.where("kind = 'warning'").select("file", "card", "warning")
 
 
 def read_vcards(spark: SparkSession, path: str, source: str = "unknown") -> DataFrame:
@@ -240,20 +266,43 @@ class VCardSource(DataSource):
         return PARSED
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
-        return _Reader(self.options["path"], self.options.get("source", "unknown"))
+        return _Reader(self.options["path"], self.options.get("source", "unknown"), int(self.options.get("chunkbytes", self.options.get("chunkBytes", 64 << 20))))
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str, source: str) -> None:
-        self.path, self.source = path.removeprefix("file://"), source
+    def __init__(self, path: str, source: str, chunk: int) -> None:
+        self.path, self.source, self.chunk = path.removeprefix("file://"), source, chunk
 
     def partitions(self) -> list[InputPartition]:
         names = [os.path.join(self.path, n) for n in sorted(os.listdir(self.path)) if n.endswith(".vcf")] if os.path.isdir(self.path) else [self.path]
-        return [InputPartition(n) for n in names]
+        return [InputPartition((n, at)) for n in names for at in range(0, max(1, os.path.getsize(n)), self.chunk)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with open(partition.value, encoding="utf-8", errors="replace", newline="") as f:
-            yield from parsed_rows(f.read(), self.source)
+        name, at = partition.value
+        with open(name, "rb") as f:
+            begin, end = next_card(f, at), next_card(f, at + self.chunk)
+            f.seek(begin)
+            text = f.read(end - begin).decode("utf-8", "replace")
+        if text:
+            yield from parsed_rows(text, self.source, name, at)
+
+
+def next_card(f: BinaryIO, at: int, step: int = 1 << 20) -> int:
+    """The first place from ``at`` on where a card begins right behind the END of another; 0 for 0, else the file's end."""
+    size = f.seek(0, os.SEEK_END)
+    if at == 0:
+        return 0
+    overlap = 64
+    while at < size:
+        f.seek(max(0, at - overlap))
+        found = _BETWEEN.search(f.read(step + 2 * overlap))
+        while found and max(0, at - overlap) + found.end() < at:
+            f.seek(max(0, at - overlap))
+            found = _BETWEEN.search(f.read(step + 2 * overlap), found.end())
+        if found:
+            return max(0, at - overlap) + found.end()
+        at += step
+    return size
 
 
 def _line(name: str, value: str, params: str = "") -> tuple[str, str]:
@@ -317,15 +366,24 @@ def write_vcards(contacts: DataFrame, path: str, review: bool = False) -> None:
     card_lines(contacts, review).repartitionByRange("idx").sortWithinPartitions("idx").select("value").write.mode("overwrite").option("lineSep", "").text(path)
 
 
-def write_file(contacts: DataFrame, path: str, review: bool = False) -> None:
-    """One local file, for exports that address books import: written beside the target and renamed over it. Rows
-    reach the driver partition by partition."""
+def stage_file(contacts: DataFrame, path: str, review: bool = False) -> str:
+    """Write one local file beside its target, under a name that nobody else takes; the name. Rows reach the driver
+    partition by partition. Nothing is left behind if it fails."""
     if os.path.isdir(path):
         raise IsADirectoryError(path)
-    staged = f"{os.path.dirname(os.path.abspath(path))}/.{os.path.basename(path)}.{os.getpid()}.tmp"
-    with os.fdopen(os.open(staged, os.O_WRONLY | os.O_CREAT | os.O_TRUNC, 0o600), "w", encoding="utf-8", newline="") as f:
-        for r in card_lines(contacts, review).orderBy("idx").toLocalIterator():
-            f.write(r["value"])
-        f.flush()
-        os.fsync(f.fileno())
-    os.replace(staged, path)
+    handle, staged = tempfile.mkstemp(prefix=f".{os.path.basename(path)}.", suffix=".tmp", dir=os.path.dirname(os.path.abspath(path)))
+    try:
+        with os.fdopen(handle, "w", encoding="utf-8", newline="") as f:
+            for r in card_lines(contacts, review).orderBy("idx").toLocalIterator():
+                f.write(r["value"])
+            f.flush()
+            os.fsync(f.fileno())
+    except BaseException:
+        os.unlink(staged)
+        raise
+    return staged
+
+
+def write_file(contacts: DataFrame, path: str, review: bool = False) -> None:
+    """One local file, for exports that address books import: written beside the target and renamed over it."""
+    os.replace(stage_file(contacts, path, review), path)
