@@ -35,13 +35,13 @@ def best_pairs(scored: DataFrame, placed: DataFrame) -> DataFrame:
     return best.select("cluster", "p.*")
 
 
-def ambiguity(scored: DataFrame, placed: DataFrame, contacts: DataFrame) -> DataFrame:
-    """``cluster, text``: every scored pair of a cluster in words, in order."""
+def ambiguity_rows(scored: DataFrame, placed: DataFrame, contacts: DataFrame) -> DataFrame:
+    """``cluster, a, b, said``: every scored pair of a cluster in words, a row each."""
     names = contacts.select("idx", X.display_name().alias("name"))
     inner = scored.join(placed.select(F.col("idx").alias("a"), "cluster"), "a").join(placed.select(F.col("idx").alias("b"), F.col("cluster").alias("other")), "b").where("cluster = other")
     named = inner.join(names.select(F.col("idx").alias("a"), F.col("name").alias("na")), "a").join(names.select(F.col("idx").alias("b"), F.col("name").alias("nb")), "b")
-    said = named.withColumn("said", F.concat(F.lit('"'), "na", F.lit('" and "'), "nb", F.lit('" scored '), two_decimals(F.col("score")), F.lit(" (tier: "), "tier", F.lit(")")))
-    return said.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("a", "b", "said"))).alias("m")).select("cluster", F.array_join(F.transform("m", lambda x: x["said"]), "; ").alias("text"))
+    said = F.concat(F.lit('"'), "na", F.lit('" and "'), "nb", F.lit('" scored '), two_decimals(F.col("score")), F.lit(" (tier: "), "tier", F.lit(")"))
+    return named.select("cluster", "a", "b", said.alias("said"))
 
 
 def view_mode(size: Column, score: Column, conflict: Column, unknown: Column) -> Column:

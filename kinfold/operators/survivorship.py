@@ -58,11 +58,14 @@ def merge_clusters(placed: DataFrame, contacts: DataFrame, priority: Column | No
     """One merged row a cluster: the contact's columns, ``cluster``, ``sources`` and ``merged_from``.
 
     ``priority`` tells which contacts may be the base (default: source icloud); the first of them by index is, else the
-    first contact. A merged cluster is bounded by its scored pairs, all of which exist, so its members fit a row.
+    first contact. Where contacts have ``sources`` of their own (read back from written cards), these are united. A
+    cluster that is merged unseen is bounded by its scored pairs, all of which exist, and one that a person merges by what
+    a person has looked through, so the members fit the one row that they become.
     """
+    united = "sources" in contacts.columns
     first = (F.col("source") == "icloud") if priority is None else priority
     rows = placed.join(contacts, "idx").withColumn("__last", (~first).cast("int"))
-    listed = rows.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("idx", *[c for c in _FIELDS if c not in ("idx", "extra")], F.to_json("extra").alias("extra_json"), "__last"))).alias("m"))
+    listed = rows.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("idx", *[c for c in _FIELDS if c not in ("idx", "extra")], F.to_json("extra").alias("extra_json"), *(["sources"] if united else []), "__last"))).alias("m"))
     # Maps have no order, so they travel as JSON through the sort.
     extra = F.transform("m", lambda x: F.from_json(x["extra_json"], "map<string,array<string>>"))
     base_at = F.array_min(F.transform("m", lambda x, i: F.struct(x["__last"].alias("last"), i.alias("i"))))["i"]
@@ -87,5 +90,5 @@ def merge_clusters(placed: DataFrame, contacts: DataFrame, priority: Column | No
         _addresses(b["addresses"], F.transform("o", lambda x: x["addresses"])).alias("addresses"),
         F.col("p.photo").alias("photo"), F.when(F.octet_length("p.photo") > 0, F.when(has_bytes, b["photo_uri"]).otherwise("")).otherwise(F.col("p.photo_uri")).alias("photo_uri"), F.col("p.photo_type").alias("photo_type"),
         _extra(F.col("base_extra"), F.col("oe")).alias("extra"),
-        F.array_distinct(F.transform("m", lambda x: x["source"])).alias("sources"), F.transform("m", lambda x: x["idx"]).alias("merged_from"),
+        F.array_distinct(F.flatten(F.transform("m", lambda x: x["sources"])) if united else F.transform("m", lambda x: x["source"])).alias("sources"), F.transform("m", lambda x: x["idx"]).alias("merged_from"),
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from kinfold.functions.similarity import LONG_FORM
 from kinfold.operators.calibration import BANDS
+from kinfold.plans import rich
 from kinfold.plans.resolution import DERIVED
 
 _SHORT = ", ".join(f"('{k}', '{v}')" for k, v in LONG_FORM.items())
@@ -12,7 +13,7 @@ _SHORT = ", ".join(f"('{k}', '{v}')" for k, v in LONG_FORM.items())
 STEPS: dict[str, str] = {
     "raw": DERIVED,
     "c0": """SELECT *, CASE WHEN regexp_matches(birthday, '^[0-9]{8}$') THEN concat(birthday[1:4], '-', birthday[5:6], '-', birthday[7:8])
-        WHEN birthday = '10/22/1989' THEN '1989-10-22' ELSE birthday END AS bd, concat_ws(' ', given_name, family_name) AS formatted_name FROM raw""",
+        WHEN regexp_matches(birthday, '^[0-9]{2}/[0-9]{2}/[0-9]{4}$') THEN concat(split_part(birthday, '/', 3), '-', split_part(birthday, '/', 1), '-', split_part(birthday, '/', 2)) ELSE birthday END AS bd, concat_ws(' ', given_name, family_name) AS formatted_name FROM raw""",
     "c": "SELECT *, try_strptime(bd, '%Y-%m-%d') IS NOT NULL AND regexp_matches(bd, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') AS ok FROM c0",
     "n": """SELECT idx, source, lower(strip_accents(family_name)) AS family, lower(strip_accents(given_name)) AS given, lower(family_name) AS sfamily, lower(given_name) AS sgiven,
         replace(lower(suffix), '.', '') AS generation, lower(trim(email)) AS email_key,
@@ -73,6 +74,19 @@ STEPS: dict[str, str] = {
         FROM ordered JOIN emails USING (cluster) JOIN phones USING (cluster) GROUP BY cluster, emails, phones""",
     "log": """SELECT event_id AS seq, user_id AS cluster_id, CASE event_type WHEN 'purchase' THEN 'merge' WHEN 'error' THEN 'undo' ELSE 'skip' END AS decision, (event_id % 101) / 100.0::DOUBLE AS score,
         CASE WHEN event_id % 2 = 0 THEN 'compact' ELSE 'detailed' END AS view_mode, CAST(floor(value * 100) AS BIGINT) AS decision_time_ms FROM events""",
+    "rich": rich.FLAT,
+    "held": """SELECT *, email_1 <> '' OR email_2 <> '' AS has_email, phone_1 <> '' OR phone_2 <> '' AS has_phone, street <> '' OR city <> '' AS has_address, org <> '' AS has_org, title <> '' AS has_title, url <> '' AS has_url,
+        birthday <> '' AS has_birthday, note <> '' AS has_note, photo_uri <> '' AS has_photo, regexp_matches(email_1, '@.+[.]') OR regexp_matches(email_2, '@.+[.]')
+        OR (phone_1 <> '' AND replace(regexp_replace(phone_1, '[^0-9]', '', 'g'), '0', '') <> '') OR phone_2 <> '' OR street <> '' AS reachable FROM rich""",
+    "shown": f"""SELECT idx, source, family_name, given_name, middle_name, prefix, suffix, formatted_name, org, title, birthday, note, url, photo_uri, concat_ws(' ', CASE WHEN email_1 <> '' THEN 'WORK=' || email_1 END, CASE WHEN email_2 <> '' THEN '=' || email_2 END) AS emails,
+        concat_ws(' ', CASE WHEN phone_1 <> '' THEN 'CELL=' || phone_1 END, CASE WHEN phone_2 <> '' THEN '=' || phone_2 END) AS phones, CASE WHEN street <> '' OR city <> '' THEN concat(street, '|', city) ELSE '' END AS addresses, tag FROM rich""",
+    "readback": f"SELECT * REPLACE ({rich._SHOWN} AS formatted_name) FROM shown",
+    "paired": "SELECT idx // 2 AS pair, *, CASE WHEN street <> '' OR city <> '' THEN concat(street, '|', city) ELSE '' END AS addresses FROM rich",
+    "base": "SELECT * FROM paired WHERE source = 'icloud' OR pair NOT IN (SELECT pair FROM paired WHERE source = 'icloud')",
+    "other": "SELECT * FROM paired WHERE idx NOT IN (SELECT idx FROM base)",
+    "queue": """SELECT cluster, cluster_id, max_score AS score, lo_mode FROM (SELECT cluster, cluster_id, max_score, 1 AS lo_mode FROM summ JOIN ids USING (cluster) WHERE NOT auto)""",
+    "state": "SELECT cluster, cluster_id, score, CASE cluster % 4 WHEN 0 THEN 'merge' WHEN 1 THEN 'skip' ELSE 'pending' END AS decision FROM queue",
+    "bestrev": "SELECT best.* FROM best JOIN summ USING (cluster) WHERE NOT auto",
     "last": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY seq DESC) AS k FROM log) WHERE k = 1 AND decision <> 'undo'",
 }
 _FLAGS = "name_exact, shared_email, shared_phone, shared_org, shared_birthday, birthday_conflict, birthday_unknown, nameless"
@@ -103,8 +117,8 @@ FINAL: dict[str, str] = {
     "conflicts": """SELECT * FROM (SELECT x.cluster, unnest(['FN', 'ORG', 'BDAY']) AS field, unnest([x.formatted_name, x.org, x.bd]) AS icloud, unnest([y.formatted_name, y.org, y.bd]) AS other FROM
         (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY idx) AS k FROM ranked WHERE source = 'icloud') x JOIN (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY idx) AS k FROM ranked WHERE source <> 'icloud') y
         ON x.cluster = y.cluster AND x.k = 1 AND y.k = 1) WHERE icloud <> '' AND other <> '' AND icloud <> other""",
-    "ambiguity": """SELECT cluster, string_agg(concat('"', x.formatted_name, '" and "', y.formatted_name, '" scored ', printf('%.2f', score), ' (tier: ', tier, ')'), '; ' ORDER BY a, b) AS text
-        FROM inside JOIN c x ON a = x.idx JOIN c y ON b = y.idx WHERE cluster IN (SELECT cluster FROM revmem) GROUP BY cluster""",
+    "ambiguity": """SELECT cluster, a, b, concat('"', x.formatted_name, '" and "', y.formatted_name, '" scored ', printf('%.2f', score), ' (tier: ', tier, ')') AS said
+        FROM inside JOIN c x ON a = x.idx JOIN c y ON b = y.idx WHERE cluster IN (SELECT cluster FROM revmem)""",
     "report_summary": """SELECT (SELECT count(*) FROM c WHERE source = 'icloud') AS total_icloud, (SELECT count(*) FROM c WHERE source = 'google') AS total_google, (SELECT count(*) FROM summ WHERE auto) AS auto_merged,
         (SELECT count(*) FROM summ WHERE NOT auto) AS needs_review, (SELECT count(*) FROM alone) AS distinct_contacts, (SELECT count(*) FROM late) AS deferred, 0::BIGINT AS warnings""",
     "resolve_output": f"""SELECT {_OUT.format(kind="'merged'")} FROM mrg WHERE cluster IN (SELECT cluster FROM automem) UNION ALL SELECT idx, 'distinct', idx, formatted_name, email, phone FROM alone
@@ -117,9 +131,39 @@ FINAL: dict[str, str] = {
     "calibration_bands": f"SELECT band, count(*) FILTER (decision = 'merge') AS merged, count(*) FILTER (decision = 'skip') AS skipped FROM (SELECT *, CASE {_BAND} END AS band FROM last) WHERE band IS NOT NULL GROUP BY band",
     "calibration_suggestion": """SELECT m AS min_merged, floor(m * 100) / 100 AS threshold, CASE WHEN greatest(floor(m * 100) / 100 - 0.05::DOUBLE, 0.5::DOUBLE) < floor(m * 100) / 100 THEN greatest(floor(m * 100) / 100 - 0.05::DOUBLE, 0.5::DOUBLE) END AS floor
         FROM (SELECT min(score) AS m FROM last WHERE decision = 'merge')""",
-    "prune_split": "SELECT idx, true AS has_email, true AS has_phone, false AS has_address, org <> '' AS has_org, birthday <> '' AS has_birthday, good_email OR good_phone AS reachable FROM c JOIN g USING (idx)",
-    "prune_detail_counts": """SELECT count(*) AS removed, count(*) AS uncounted, count(*) FILTER (org <> '') AS org_or_title, 0::BIGINT AS url, count(*) FILTER (birthday <> '') AS birthday, 0::BIGINT AS name_only
-        FROM c JOIN g USING (idx) WHERE NOT (good_email OR good_phone)""",
+    "prune_split": "SELECT idx::INT AS idx, has_email, has_phone, has_address, has_org, has_title, has_url, has_birthday, has_note, has_photo, reachable FROM held",
+    "prune_detail_counts": """SELECT count(*) AS removed, count(*) FILTER (has_email OR has_phone) AS uncounted, count(*) FILTER (has_org OR has_title) AS org_or_title, count(*) FILTER (has_url) AS url, count(*) FILTER (has_birthday) AS birthday,
+        count(*) FILTER (NOT (has_email OR has_phone OR has_address OR has_org OR has_title OR has_url OR has_birthday OR has_note OR has_photo)) AS name_only FROM held WHERE NOT reachable""",
+    "birthday_forms": f"SELECT idx, raw, canonical FROM ({rich.BIRTHDAYS})",
+    "vcard_write": rich.CARD,
+    "vcard_parse": "SELECT * FROM readback",
+    "vcard_roundtrip": "SELECT * FROM readback",
+    "merged_fields": """SELECT x.idx, x.source, x.prefix, x.suffix, """ + ", ".join(f"coalesce(nullif(x.{c}, ''), y.{c}, '') AS {c}" for c in ("family_name", "given_name", "middle_name", "formatted_name", "org", "title", "birthday", "note", "url", "photo_uri")) + """,
+        array_to_string(list_transform(list_sort(list_filter([struct_pack(v := coalesce(x.email_1, ''), t := 'WORK'), struct_pack(v := coalesce(x.email_2, ''), t := ''), struct_pack(v := coalesce(y.email_1, ''), t := 'WORK'), struct_pack(v := coalesce(y.email_2, ''), t := '')], lambda e: e.v <> '')), lambda e: concat(e.t, '=', e.v)), ' ') AS emails,
+        array_to_string(list_transform(list_sort(list_filter([struct_pack(v := coalesce(x.phone_1, ''), t := 'CELL'), struct_pack(v := coalesce(x.phone_2, ''), t := ''), struct_pack(v := coalesce(y.phone_1, ''), t := 'CELL'), struct_pack(v := coalesce(y.phone_2, ''), t := '')], lambda e: e.v <> '')), lambda e: concat(e.t, '=', e.v)), ' ') AS phones,
+        concat_ws(' ', nullif(x.addresses, ''), nullif(y.addresses, '')) AS addresses, concat_ws(' ', nullif(x.tag, ''), nullif(y.tag, '')) AS tag,
+        CASE WHEN y.idx IS NULL THEN x.source ELSE concat_ws('+', CASE WHEN x.idx < y.idx THEN x.source ELSE y.source END, CASE WHEN x.idx < y.idx THEN y.source ELSE x.source END) END AS sources FROM base x LEFT JOIN other y USING (pair)""",
+    "generations": """SELECT idx, CASE WHEN suffix <> '' THEN lower(suffix) WHEN family_name LIKE '% Jr' THEN 'jr' ELSE '' END AS generation, (email_1 <> '')::BIGINT + (email_2 <> '')::BIGINT AS emails, (phone_1 <> '')::BIGINT + (phone_2 <> '')::BIGINT AS phones,
+        regexp_matches(email_1, '@.+[.]')::BIGINT + (email_2 <> '')::BIGINT AS good_emails, (phone_1 <> '' AND phone_1 <> '000-0000')::BIGINT + (phone_2 <> '')::BIGINT AS good_phones FROM rich""",
+    "review_breakdown": """SELECT cluster, concat('  Score breakdown:', chr(10), '    Name:     ', rpad(printf('%.2f', sim), 28, ' '), ' x0.40', chr(10), '    Email:    ', rpad(CASE WHEN shared_email THEN '1.00 (shared email)' ELSE '0.00 (no shared emails)' END, 28, ' '), ' x0.25', chr(10),
+        '    Phone:    ', rpad(CASE WHEN shared_phone THEN '1.00 (shared phone)' ELSE '0.00 (no shared phones)' END, 28, ' '), ' x0.25', chr(10), '    Org:      ', rpad(CASE WHEN shared_org THEN '1.00 (shared org)' ELSE '0.00 (no shared org)' END, 28, ' '), ' x0.10', chr(10),
+        '    Birthday: ', rpad(CASE WHEN birthday_conflict THEN '0.00 (birthdays differ)' WHEN birthday_unknown THEN '0.00 (a birthday could not be read)' WHEN shared_birthday THEN '1.00 (shared birthday)' ELSE '0.00 (no shared birthday)' END, 28, ' '), ' x0.10',
+        CASE WHEN birthday_conflict THEN chr(10) || '    Held for review: the two birthdays disagree.' WHEN birthday_unknown THEN chr(10) || '    Held for review: a birthday could not be read, so they may disagree.' WHEN sim >= 0.95::DOUBLE AND score < 0.6::DOUBLE THEN chr(10) || '    Surfaced because the names match.' ELSE '' END) AS lines,
+        concat(concat_ws(', ', printf('name %.2f x0.40', sim), CASE WHEN shared_email THEN 'email +0.25' END, CASE WHEN shared_phone THEN 'phone +0.25' END, CASE WHEN shared_org THEN 'org +0.10' END, CASE WHEN shared_birthday THEN 'birthday +0.10' END), printf(' = %.2f', score)) AS short FROM bestrev""",
+    "review_evidence": """SELECT cluster, l.idx AS left_idx, l.formatted_name AS left_name, concat(CASE WHEN shared_email THEN '✓ ' ELSE '  ' END, l.email) AS left_email, concat(CASE WHEN shared_phone THEN '✓ ' ELSE '  ' END, l.tel) AS left_phone, l.org AS left_org, l.bd AS left_birthday,
+        r.idx AS right_idx, r.formatted_name AS right_name, concat(CASE WHEN shared_email THEN '✓ ' ELSE '  ' END, r.email) AS right_email, concat(CASE WHEN shared_phone THEN '✓ ' ELSE '  ' END, r.tel) AS right_phone, r.org AS right_org, r.bd AS right_birthday
+        FROM (SELECT *, CASE WHEN (SELECT source FROM c WHERE idx = a) <> 'icloud' AND (SELECT source FROM c WHERE idx = b) = 'icloud' THEN b ELSE a END AS li FROM bestrev) t
+        JOIN (SELECT c.*, concat('(', phone_key[1:3], ') ', phone_key[4:6], '-', phone_key[7:10]) AS tel FROM c JOIN n USING (idx)) l ON l.idx = li JOIN (SELECT c.*, concat('(', phone_key[1:3], ') ', phone_key[4:6], '-', phone_key[7:10]) AS tel FROM c JOIN n USING (idx)) r ON r.idx = a + b - li""",
+    "deferred_reasons": """SELECT x.members AS side_a, y.members AS side_b, concat('same name only: ', x.said, ' resembles ', y.said, ' by name, but one side is already merged on a shared identifier and a name alone does not join a cluster; both are in the output as separate people') AS reason
+        FROM late JOIN (SELECT gr, string_agg(idx::VARCHAR, ',' ORDER BY idx) AS members, concat(CASE WHEN count(*) > 1 THEN 'the merged cluster of ' ELSE '' END, string_agg(concat(formatted_name, ' (', source, ')'), ' + ' ORDER BY idx)) AS said FROM grp JOIN c USING (idx) GROUP BY gr) x ON x.gr = ga
+        JOIN (SELECT gr, string_agg(idx::VARCHAR, ',' ORDER BY idx) AS members, concat(CASE WHEN count(*) > 1 THEN 'the merged cluster of ' ELSE '' END, string_agg(concat(formatted_name, ' (', source, ')'), ' + ' ORDER BY idx)) AS said FROM grp JOIN c USING (idx) GROUP BY gr) y ON y.gr = gb""",
+    "decision_state": "SELECT cluster, cluster_id, decision FROM state",
+    "pending_counts": "SELECT count(*) FILTER (decision = 'pending') AS pending, count(*) FILTER (decision <> 'pending') AS resolved FROM state",
+    "next_pending": "SELECT cluster, cluster_id FROM state WHERE decision = 'pending' ORDER BY score DESC, cluster_id LIMIT 1",
+    "undo_entry": "SELECT cluster_id, 'undo' AS decision, round(score, 6) AS score FROM state WHERE decision <> 'pending' ORDER BY cluster DESC LIMIT 1",
+    "shared_values": "SELECT a, b, CASE WHEN shared_email THEN x.email_key ELSE '' END AS emails, CASE WHEN shared_phone THEN x.phone_key ELSE '' END AS phones FROM s JOIN g x ON a = x.idx WHERE tier = 'auto_merge'",
+    "resolve_from_files": """SELECT formatted_name, family_name, given_name, org, birthday, emails, phones, sources FROM mrg WHERE cluster IN (SELECT cluster FROM automem) OR (cluster IN (SELECT cluster FROM revmem) AND cluster % 3 = 0)
+        UNION ALL SELECT formatted_name, family_name, given_name, org, bd, email, phone, source FROM alone UNION ALL SELECT formatted_name, family_name, given_name, org, bd, email, phone, source FROM revmem JOIN c USING (idx) WHERE cluster % 3 = 2""",
 }
 _RECURSIVE = ("reach", "greedy")
 

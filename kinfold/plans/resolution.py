@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinfold.functions import text as X
@@ -73,6 +73,17 @@ class Resolution:
         ids = clustering.cluster_ids(self.review_members, self.contacts)
         return self.review_members.join(self.contacts, "idx").join(ids, "cluster").join(self.summary.select("cluster", F.col("min_score").alias("score")), "cluster")
 
+    @property
+    def review_in_order(self) -> DataFrame:
+        """``review`` with ``idx`` renumbered from 0 in the report's order: best score down, cluster_id, index."""
+        best = self.summary.select("cluster", F.col("max_score").alias("best"))
+        ordered = self.review.join(best, "cluster")
+        sizes = ordered.groupBy("cluster", "cluster_id", "best").agg(F.count("*").alias("n"))
+        before = Window.orderBy(F.desc("best"), "cluster_id").rowsBetween(Window.unboundedPreceding, -1)
+        starts = sizes.select("cluster", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+        within = F.row_number().over(Window.partitionBy("cluster").orderBy("idx")) - 1
+        return ordered.withColumn("k", within).join(starts, "cluster").withColumn("idx", (F.col("start") + F.col("k")).cast("int")).drop("k", "start", "best")
+
     @property
     def deferred(self) -> DataFrame:
         return clustering.deferred(self.scored, self.placed, self.contacts)

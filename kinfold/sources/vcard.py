@@ -230,6 +230,19 @@ def parse_large(spark: SparkSession, path: str, source: str = "unknown", chunk_b
     return numbered(materialize(_finished(rows), "parsed"))
 
 
+def parse_cards(lines: DataFrame, source: str = "unknown") -> DataFrame:
+    """Contacts of ``idx, value``: texts of one card each, which keep their ``idx``; texts without a whole card are left out."""
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            rows = [r for i, text in zip(pdf["idx"], pdf["value"], strict=True) for card in [next((c for _, c, _ in cards(text) if c), None)] if card for r in [to_row(card, source, i)]]
+            yield pd.DataFrame([tuple(r.get(n) for n in [f.name for f in PARSED.fields]) for r in rows], columns=[f.name for f in PARSED.fields])
+
+    return _finished(lines.select("idx", "value").mapInPandas(run, PARSED)).select(*[f.name for f in M.CONTACT.fields])
+
+
 def contacts(parsed: DataFrame) -> DataFrame:
     return parsed.where("kind = 'contact'").select(*[f.name for f in M.CONTACT.fields])
 

@@ -23,7 +23,7 @@ def resolution(spark, *rows):
     return Resolution(spark.createDataFrame(rows, CONTACT))
 
 
-@pytest.mark.parametrize("name", ["scored_pairs", "merged_contacts", "review_queue", "deferred_pairs", "conflicts", "calibration_counts", "prune_detail_counts"])
+@pytest.mark.parametrize("name", ["scored_pairs", "merged_contacts", "review_queue", "deferred_pairs", "conflicts", "calibration_counts", "prune_detail_counts", "prune_split", "birthday_forms", "vcard_write", "vcard_parse", "vcard_roundtrip", "merged_fields", "generations", "review_breakdown", "review_evidence", "decision_state", "resolve_from_files"])
 def test_queries_match_sql(spark, name):
     db = duckdb.connect()
     for t in ("customer", "events"):
