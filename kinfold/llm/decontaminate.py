@@ -166,11 +166,14 @@ class Windows:
             self.groups.append((windows, pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(windows) + 1))))
 
 
+def _part_count(benchmark: DataFrame) -> int:
+    chars = benchmark.where("item_id is not null").agg(F.sum(F.length("text") + 16)).head()[0] or 0
+    return -(-chars // PART_CHARS) or 1
+
+
 def _parts(benchmark: DataFrame) -> Iterator[list[tuple[object, str | None]]]:
     """The benchmark's items in parts of about ``PART_CHARS`` characters."""
-    items = benchmark.where("item_id is not null").select("item_id", "text")
-    chars = items.agg(F.sum(F.length("text") + 16)).head()[0] or 0
-    n = -(-chars // PART_CHARS) or 1
+    items, n = benchmark.where("item_id is not null").select("item_id", "text"), _part_count(benchmark)
     for part in range(n):
         yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == part).collect()]
 
@@ -211,10 +214,15 @@ def _matches(items: Windows, slop: int | None):
 MATCH = "doc_id long, text_md5 string, segment string, place long, n_words long, spans array<bigint>, items array<string>"
 
 
+def _named(index: DataFrame) -> DataFrame:
+    """Segments with a name that is the same in every pass."""
+    return index.withColumn("segment", F.concat_ws(":", F.col("_metadata.file_path"), F.col("_metadata.file_block_start").cast("string"), F.monotonically_increasing_id().cast("string")))
+
+
 def matches(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int | None = None) -> DataFrame:
     """``doc_id, text_md5, n_words, spans, items`` for every indexed document: the word intervals that match and
     the items (as strings, distinct). Exact phrases where ``slop`` is None, else proximity matches."""
-    named = index.withColumn("segment", F.concat_ws(":", F.col("_metadata.file_path"), F.col("_metadata.file_block_start").cast("string"), F.monotonically_increasing_id().cast("string")))
+    named = _named(index)
     passes = [named.mapInArrow(_matches(Windows(part, window), slop), MATCH) for part in _parts(benchmark)]
     if len(passes) > 1:
         rows = passes[0]
@@ -260,8 +268,15 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+VERDICT = "doc_id long, text_md5 string, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+
+
 def _verdicts(index: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
-    return matches(index, benchmark, window).mapInArrow(frugal(_digest), "doc_id long, text_md5 string, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    """Verdicts on all indexed documents; with one pass over the index, one worker a task finds and digests the matches."""
+    if _part_count(benchmark) > 1:
+        return matches(index, benchmark, window).mapInArrow(frugal(_digest), VERDICT)
+    find = _matches(Windows(next(_parts(benchmark)), window), None)
+    return _named(index).mapInArrow(frugal(lambda batches: _digest(find(batches))), VERDICT)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
