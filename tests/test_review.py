@@ -130,7 +130,7 @@ def test_pairs_of_a_large_key(spark, monkeypatch):
 
 
 def test_wire_form_is_lossless(spark):
-    texts = ["a\\b", "c:\\new", "x\\n", "a;b,c\\", "line\nfeed", "\\", "\\\;", "", "é\u2028\x85 end"]
+    texts = ["a\\b", "c:\\new", "x\\n", "a;b,c\\", "line\nfeed", "\\", "\\\\;", "", "é\u2028\x85 end"]
     assert [vcard.unescape(vcard.escape(t)) for t in texts] == texts
     df = spark.createDataFrame([(t,) for t in texts], "s string")
     assert [r[0] for r in df.select(X.unescape(X.escape(F.col("s")))).collect()] == texts
