@@ -2,11 +2,11 @@
 
 Texts are split at the added tokens and then into pretokens, about ``PIECE`` characters at a time; a longer text is
 cut between a word and the blank before the next, where a pretoken ends in any case. The distinct pretokens of a piece
-that the partition has not had yet are laid out in one array of symbols. An index maps every adjacent pair to all its
+that the worker does not know yet are laid out in one array of symbols. An index maps every adjacent pair to all its
 positions there; the ranks of the pairs that occur are taken in ascending order from a heap, each merge is applied at
 all listed positions from left to right, and the lists of the pairs that touch the merged symbols are updated. The ids
-of a partition's pretokens are kept for its later pieces by the pretokens' bytes, in a table of bounded size that ends
-with the partition. (One index over a whole partition would grow with it; pieces give the same ids.)
+of the first pretokens are kept for later pieces by the pretokens' bytes, in a table of bounded size; once it is full,
+others are encoded anew in each piece. (One index over a whole partition would grow with it; pieces give the same ids.)
 
 Defined results: a null text is an empty text: no tokens. Texts of any length are encoded whole. Rows with null
 or repeated ids are each encoded as they stand; further columns are ignored, whatever their names. An empty table gives
@@ -32,10 +32,10 @@ from kinfold.plans.storage import small_arrow_batches
 
 #: The pattern of byte-level pretokenizers (a fixed value of the published vocabulary).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pretokens, and bytes of them, whose ids a partition keeps; beyond that it starts anew.
-KNOWN, KNOWN_BYTES = 1 << 17, 8 << 20
+#: Pretokens, and bytes of them, whose ids a worker keeps.
+KNOWN, KNOWN_BYTES = 1 << 17, 4 << 20
 #: Characters that are encoded at a time, and ids that are decoded at a time.
-PIECE = 1 << 18
+PIECE = 1 << 19
 _CUT = regex.compile(r"(?<=\S) (?=\S)")
 
 
@@ -202,10 +202,10 @@ class Bpe:
         raw = text.encode()
         size = (1 + (points >= 0x80).view(np.uint8) + (points >= 0x800).view(np.uint8) + (points >= 0x10000).view(np.uint8)).cumsum(dtype=np.int64)
         at = np.append(np.concatenate([[0], size])[starts], len(raw)).tolist()
-        number, n = known.numbers([raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], self)
+        begin, n, flat = known.places([raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], self)
         end = np.cumsum(n)
         total = int(end[-1]) if len(end) else 0
-        ids = known.flat[np.repeat(known.begin[number] - (end - n), n) + np.arange(total)]
+        ids = flat[np.repeat(begin - (end - n), n) + np.arange(total)]
         cuts = np.concatenate([[0], end])[np.searchsorted(starts, borders)]
         return [ids[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
 
@@ -248,30 +248,32 @@ class Bpe:
 
 
 class Known:
-    """Ids of pretokens that a partition has had, by their bytes."""
+    """Ids of pretokens by their bytes."""
 
     def __init__(self) -> None:
-        self._forget()
-
-    def _forget(self) -> None:
         self.number: dict[bytes, int] = {}
         self.bytes = 0
         #: All ids side by side, and where each pretoken's begin and how many it has.
         self.flat, self.begin, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def numbers(self, words: list[bytes], bpe: Bpe) -> tuple[np.ndarray, np.ndarray]:
-        """Number of each pretoken, and how many ids it has; new ones are encoded through a pair index."""
-        if len(self.number) > KNOWN or self.bytes > KNOWN_BYTES:
-            self._forget()
-        new = list(dict.fromkeys(w for w in words if w not in self.number))
+    def places(self, words: list[bytes], bpe: Bpe) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each pretoken's ids begin, how many they are, and all ids; new pretokens pass through a pair index."""
+        known, flat, begin, size = self.number, self.flat, self.begin, self.size
+        new = list(dict.fromkeys(w for w in words if w not in known))
         if new:
-            flat, sizes = PairIndex(new, bpe.first, bpe.merges).run()
-            self.bytes += sum(map(len, new))
-            self.number.update(zip(new, range(len(self.size), len(self.size) + len(new)), strict=True))
-            self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(sizes) - sizes])
-            self.flat, self.size = np.concatenate([self.flat, flat]), np.concatenate([self.size, sizes])
-        number = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        return number, self.size[number]
+            ids, sizes = PairIndex(new, bpe.first, bpe.merges).run()
+            begin = np.concatenate([begin, len(flat) + np.cumsum(sizes) - sizes])
+            flat, size = np.concatenate([flat, ids]), np.concatenate([size, sizes])
+            numbers = dict(zip(new, range(len(self.size), len(size)), strict=True))
+            total = self.bytes + sum(map(len, new))
+            if len(size) <= KNOWN and total <= KNOWN_BYTES:
+                known.update(numbers)
+                self.flat, self.begin, self.size, self.bytes = flat, begin, size, total
+            else:
+                number = np.fromiter((known[w] if w in known else numbers[w] for w in words), np.int64, len(words))
+                return begin[number], size[number], flat
+        number = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        return begin[number], size[number], flat
 
 
 @cache
@@ -279,13 +281,18 @@ def load(path: str) -> Bpe:
     return Bpe(path)
 
 
+@cache
+def _known(path: str) -> Known:
+    return Known()
+
+
 def _hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
 def _encode(path: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, known = load(path), Known()
+        bpe, known = load(path), _known(path)
         for batch in batches:
             for part, raw in text_chunks(batch, limit=PIECE):
                 ids = bpe.encode_batch([t.decode() for t in raw], known)
@@ -331,7 +338,7 @@ def decode(tokens: DataFrame, tokenizer: str) -> DataFrame:
 
 def _count(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, known = load(path), Known()
+        bpe, known = load(path), _known(path)
         for batch in batches:
             for part, raw in text_chunks(batch, limit=PIECE):
                 n = [len(x) for x in bpe.encode_batch([t.decode() for t in raw], known)]
