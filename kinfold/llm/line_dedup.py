@@ -15,8 +15,8 @@ every text.
 
 The text is parsed once, into the hashes of its lines' nodes. Counting these leaves the nodes that texts share, and only
 their lines go on. Counts are partial aggregates; no template's lines meet in one task. What a document loses depends on
-its text alone, so decisions are joined by two hashes of the text (96 bits), as a join of two plain exchanges: a group
-of copies that holds a third of all rows is split by Spark's adaptive skew join.
+its text alone, so decisions are joined by two hashes of the text (96 bits), as a join of two plain exchanges, whatever
+the size: a group of copies that holds a third of all rows is split by Spark's adaptive skew join.
 
 Defined results: a null text stays null and an empty one empty (0 lines counted and dropped); blank lines have no
 template and stay. A document that loses every line stays as a row with an empty text. Rows with null or repeated
@@ -113,7 +113,8 @@ def recurring_templates(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 
 def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, counts: bool = False) -> DataFrame:
     """``docs`` with recurring lines taken out of ``text``; with ``counts``, also ``n_lines`` and ``n_dropped``."""
-    dropped = recurring_lines(docs, min_docs).select(*(F.col(c).alias(f"__ld_{c}") for c in [*_TEXT, "lines"]))
+    # Never a broadcast: lists of lines take many times the stored bytes by which Spark would choose one.
+    dropped = recurring_lines(docs, min_docs).select(*(F.col(c).alias(f"__ld_{c}") for c in [*_TEXT, "lines"])).hint("merge")
     joined = docs.withColumns({f"__ld_{c}": x for c, x in zip(_TEXT, _text_id(F.col("text")), strict=True)}).join(dropped, [f"__ld_{c}" for c in _TEXT], "left")
     lines = F.split("text", "\n")
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__ld_lines", i)), "\n")

@@ -358,6 +358,16 @@ def test_line_dedup_of_long_passages(spark):
     assert all(got[10 + i] == rows[2 + i][1] for i in range(3))
 
 
+def test_line_dedup_does_not_broadcast_what_texts_lose(spark):
+    """The lists are small as stored here, yet they meet the texts in a join of exchanges, as those of a large table do."""
+    rng = np.random.default_rng(10)
+    rows = [(i, f"{prose(rng, 12)}\nAll rights reserved worldwide") for i in range(12)]
+    kept = line_dedup.drop_recurring_lines(frame(spark, rows))
+    assert {r.doc_id: r.text for r in kept.collect()} == {i: t.split("\n")[0] for i, t in rows}
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_rollup(spark, tokenizer):
     rows = [(1, "the cat", "en", "a", 7), (2, "the cat", "en", "b", 7), (3, None, None, "a", 0), (4, "x y z", "en", "a", 5)]
     path = new_path(spark, "rollup")
