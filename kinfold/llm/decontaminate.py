@@ -37,8 +37,8 @@ from kinfold.plans.storage import materialize, release, small_arrow_batches
 WINDOW, CONTAMINATED = 8, 2
 BLOCK_BYTES = 1 << 20
 PART_CHARS = 2 << 20
-#: Candidates of one intersection step held at once.
-STEP = 1 << 20
+#: Candidates of one intersection step held at once, at about 100 bytes each; a step may end within a window's.
+STEP = 1 << 17
 
 SEGMENT = "doc_ids array<bigint>, keys array<string>, borders binary, terms binary, counts binary, deltas binary"
 
@@ -100,8 +100,9 @@ class Segment:
     def doc_of(self, position: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.borders, position, "right") - 1
 
-    def _anchored(self, windows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """Windows whose terms all occur, in steps: window number, terms and offsets rarest first, anchor position."""
+    def _anchored(self, windows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Windows whose terms all occur, with terms and offsets rarest first; in steps, of each candidate the place of
+        its window among these and its anchor position."""
         number = self.numbers(windows)
         rows = np.flatnonzero((number >= 0).all(1))
         if not len(rows):
@@ -109,38 +110,39 @@ class Segment:
         number = number[rows]
         offset = np.argsort(self.counts[number], axis=1, kind="stable")
         number = np.take_along_axis(number, offset, 1)
-        fewest = self.counts[number[:, 0]]
-        cuts = np.flatnonzero(np.diff(np.cumsum(fewest) // STEP)) + 1
-        for some in np.split(np.arange(len(rows)), cuts):
-            n = fewest[some]
-            which = np.repeat(some, n)
-            within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            yield rows[which], number[which], offset[which], self.positions[self.starts[number[which, 0]] + within]
+        ends = np.cumsum(self.counts[number[:, 0]])
+        # The candidates of a window are numbered up to its end; this leads from there to its rarest term's list.
+        shift = self.starts[number[:, 0] + 1] - ends
+        for low in range(0, int(ends[-1]), STEP):
+            candidate = np.arange(low, min(low + STEP, int(ends[-1])))
+            which = np.searchsorted(ends, candidate, "right")
+            yield rows, number, offset, which, self.positions[candidate + shift[which]]
 
     def phrases(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, start position) of every exact occurrence of the windows (all of one length)."""
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        for which, term, offset, anchor in self._anchored(windows):
-            start = anchor - offset[:, 0]
+        for rows, number, offset, which, anchor in self._anchored(windows):
+            start = anchor - offset[which, 0]
             for j in range(1, windows.shape[1]):
-                left = self.holds(term[:, j], start + offset[:, j])
-                which, term, offset, start = which[left], term[left], offset[left], start[left]
+                left = self.holds(number[which, j], start + offset[which, j])
+                which, start = which[left], start[left]
             left = (start >= 0) & (self.doc_of(start) == self.doc_of(start + windows.shape[1] - 1))
-            found.append((which[left], start[left]))
+            found.append((rows[which[left]], start[left]))
         which, start = (np.concatenate(x) for x in zip(*found, strict=True))
         return which, start
 
     def near(self, windows: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
         """(window, position of its rarest term) where every term occurs within length + ``slop`` - 1 words of it."""
         found, reach = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], windows.shape[1] - 1 + slop
-        for which, term, _, anchor in self._anchored(windows):
+        for rows, number, _, which, anchor in self._anchored(windows):
             for j in range(1, windows.shape[1]):
                 doc = self.doc_of(anchor)
                 low = np.maximum(anchor - reach, self.borders[doc])
                 high = np.minimum(anchor + reach + 1, self.borders[doc + 1])
-                left = np.searchsorted(self.postings, term[:, j] << 32 | low) < np.searchsorted(self.postings, term[:, j] << 32 | high)
-                which, term, anchor = which[left], term[left], anchor[left]
-            found.append((which, anchor))
+                term = number[which, j] << 32
+                left = np.searchsorted(self.postings, term | low) < np.searchsorted(self.postings, term | high)
+                which, anchor = which[left], anchor[left]
+            found.append((rows[which], anchor))
         which, anchor = (np.concatenate(x) for x in zip(*found, strict=True))
         return which, anchor
 

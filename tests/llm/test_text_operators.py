@@ -2,9 +2,11 @@
 
 import hashlib
 import re
+import tracemalloc
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -220,6 +222,43 @@ def test_decontamination_of_a_table(spark):
     assert decontaminate.contamination(docs, bench.limit(0)).where("n_items > 0").count() == 0
 
 
+def segment_of(texts):
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts, "text_md5": [""] * len(texts)})
+    (rows,) = decontaminate._segments(iter([batch]))
+    return decontaminate.Segment(rows.to_pylist()[0])
+
+
+def test_decontamination_holds_few_candidates():
+    """Windows of words that are everywhere: all occurrences, and no more memory than a step of candidates takes."""
+    rng = np.random.default_rng(0)
+    texts = [" ".join(rng.choice(list("abc"), 200_000)), "a " * 200_000]
+    items = [(0, "a " * 8), *((i, " ".join(rng.choice(list("abc"), 8))) for i in range(1, 40))]
+    seg, ((windows, owners, _),) = segment_of(texts), decontaminate.Windows(items, 8).groups
+    tracemalloc.start()
+    which, start = seg.phrases(windows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    words, at = [t.split() for t in texts], {}
+    for base, w in zip((0, len(words[0])), words, strict=True):
+        for a in range(len(w) - 7):
+            at.setdefault(tuple(w[a : a + 8]), []).append(base + a)
+    want = [(tuple(t.split()), p) for t in {t.strip() for _, t in items} for p in at.get(tuple(t.split()), [])]
+    text = {tuple(wordhash.text_words(t.encode(), wordhash.WORD_BYTES).tolist()): tuple(t.split()) for _, t in items}
+    assert sorted((text[tuple(windows[w].tolist())], p) for w, p in zip(which.tolist(), start.tolist(), strict=True)) == sorted(want)
+    assert peak < 48 << 20
+
+
+def test_decontamination_in_steps(monkeypatch):
+    """Steps that end within a window's candidates change neither exact nor proximity matches."""
+    rng = np.random.default_rng(1)
+    seg = segment_of([" ".join(rng.choice(list("abcd"), 300)) for _ in range(3)])
+    ((windows, *_),) = decontaminate.Windows([(i, " ".join(rng.choice(list("abcd"), 12))) for i in range(9)], 4).groups
+    whole = [*seg.phrases(windows), *seg.near(windows, 2)]
+    assert len(whole[0]) and len(whole[2])
+    monkeypatch.setattr(decontaminate, "STEP", 7)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, [*seg.phrases(windows), *seg.near(windows, 2)], strict=True))
+
+
 def test_decontamination_matches_sql(spark):
     docs, bench = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
     db = duckdb.connect()
