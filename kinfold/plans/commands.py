@@ -99,7 +99,7 @@ def report_sections(r: Resolution) -> dict[str, DataFrame]:
     """The report, a DataFrame a section. What belongs to a cluster but is not bounded by one merge (its contacts, conflicts
     and pairs in words) stands in sections of its own, a row each; a cluster's row has its best pair."""
     ids = clustering.cluster_ids(r.placed, r.contacts)
-    best = reporting.best_pairs(r.scored, r.placed)
+    best = reporting.best_pairs(r.summary)
     columns = ["cluster", "cluster_id", "size", "score", "min_score", "name_similarity", *scoring.FLAGS]
     shown = best.join(ids, "cluster").join(r.summary.select("cluster", "size", "min_score", "auto"), "cluster").join(review.breakdown(best), "cluster").select(*columns, "auto", F.col("short").alias("why"))
     named = r.contacts.select("idx", "source", X.display_name().alias("name"))
@@ -108,7 +108,7 @@ def report_sections(r: Resolution) -> dict[str, DataFrame]:
     return {
         "summary": r.totals, "merges": shown.where("auto").drop("auto").orderBy(*order), "reviews": shown.where("not auto").drop("auto").withColumn("decision", F.lit(review.PENDING)).orderBy(*order),
         "members": who.orderBy("cluster_id", "idx"), "conflicts": r.conflicts.join(ids, "cluster").select("cluster_id", "field", "icloud", "other").orderBy("cluster_id", "field"),
-        "ambiguity": reporting.ambiguity_rows(r.scored, r.review_members, r.contacts).join(ids, "cluster").select("cluster_id", "a", "b", "said").orderBy("cluster_id", "a", "b"),
+        "ambiguity": reporting.ambiguity_rows(r.rows, r.review_members, r.contacts).join(ids, "cluster").select("cluster_id", "a", "b", "said").orderBy("cluster_id", "a", "b"),
         "deferred": review.deferred_entries(r.deferred, r.contacts).orderBy(F.desc("score"), F.element_at("side_a", 1)), "distinct": r.distinct.select("idx", "source", X.display_name().alias("name")).orderBy("idx"),
     }
 
